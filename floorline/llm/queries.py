@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import chat, secrets
 from .common import table
+from .quality_crf import score_quality
+from .quality_rules import COUNTS, judge
+from .topk import TOP_SQL, top_k
 from .toxicity import score_toxicity
 
 
@@ -14,11 +18,52 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "evidence_ids")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.examples(rows.unionByName(extra)))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+
+
+def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.joined(F.col("secret_base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_chat_format": op2_chat_format,
+        "op4_quality_crf": op4_quality_crf,
+        "op6_isolation_rules": op6_isolation_rules,
+        "op8_segment_topk": op8_segment_topk,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat_format": chat.DIGEST_SQL,
+        "op8_segment_topk": TOP_SQL,
+    }
