@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, secrets
+from . import bpe, chat, packing, secrets
 from .common import table
 from .quality_crf import score_quality
 from .quality_rules import COUNTS, judge
@@ -29,6 +30,10 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
@@ -38,6 +43,11 @@ def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op9_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long")
@@ -56,8 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat_format": op2_chat_format,
         "op4_quality_crf": op4_quality_crf,
+        "op5_bpe_automaton": op5_bpe_automaton,
         "op6_isolation_rules": op6_isolation_rules,
         "op8_segment_topk": op8_segment_topk,
+        "op9_bound_packing": op9_bound_packing,
         "op10_secret_scan": op10_secret_scan,
     }
 
