@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, packing, secrets
 from .common import table
+from .near_dup import classes
 from .quality_crf import score_quality
 from .quality_rules import COUNTS, judge
 from .topk import TOP_SQL, top_k
@@ -39,6 +40,10 @@ def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_crf": op4_quality_crf,
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_isolation_rules": op6_isolation_rules,
+        "op7_order_minhash": op7_order_minhash,
         "op8_segment_topk": op8_segment_topk,
         "op9_bound_packing": op9_bound_packing,
         "op10_secret_scan": op10_secret_scan,
