@@ -233,3 +233,16 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, held:
             )
 
     return common.text_map(rows, work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, least: float = 0.7) -> DataFrame:
+    """The rows of documents, all columns, whose score is at least `least`; nothing is shuffled."""
+    field = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, common.fold("doc_id", folds) != held))
+
+    def work(batches):
+        for batch in batches:
+            texts = batch["text"].cast(pa.binary()).to_pylist()
+            parts = [field.value.scores(c) for c in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate(parts) >= least if parts else [], pa.bool_()))
+
+    return common.text_map(documents, work, documents.schema)

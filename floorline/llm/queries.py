@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import bpe, chat, packing, secrets
 from .common import table
+from .language import identify
 from .near_dup import classes
 from .quality_crf import score_quality
 from .quality_rules import COUNTS, judge
@@ -27,6 +30,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(rows.unionByName(extra)))
 
 
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_chat_format": op2_chat_format,
+        "op3_language_fusion": op3_language_fusion,
         "op4_quality_crf": op4_quality_crf,
         "op5_bpe_automaton": op5_bpe_automaton,
         "op6_isolation_rules": op6_isolation_rules,
@@ -77,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_segment_topk": op8_segment_topk,
         "op9_bound_packing": op9_bound_packing,
         "op10_secret_scan": op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -244,3 +244,14 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held
             )
 
     return common.text_map(rows, scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+
+
+def keep_clean(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: float = 0.5) -> DataFrame:
+    """The rows of documents, all columns, whose score is under `most`; nothing is shuffled."""
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, common.fold("doc_id", folds) != held))
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([model.value.score(t)[0] < most for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return common.text_map(documents, kept, documents.schema)
