@@ -1,4 +1,4 @@
-"""Column helpers: identities, roundings, quantile conventions, intervals of proportions, exact tests."""
+"""Column helpers: identities, roundings, intervals of proportions, exact tests."""
 
 from __future__ import annotations
 
@@ -92,35 +92,6 @@ def gap_speed(gap_ms: Column) -> Column:
     return F.when(gap_ms < 350, "fast").when(gap_ms < 800, "mid").otherwise("slow")
 
 
-# -- quantiles, one helper per convention ----------------------------------------------------------------------
-
-
-def _sorted(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
-
-
-def quantile_floor(x: Column, f: float) -> Column:
-    """sorted[int(f * n)], held within the list; null of nothing. For groups of bounded size."""
-    s = _sorted(x)
-    return F.get(s, F.least(F.floor(F.lit(f) * F.size(s)), F.size(s) - 1).cast("int"))
-
-
-def quantile_nth(x: Column, part: int) -> Column:
-    """sorted[n // part]."""
-    s = _sorted(x)
-    return F.get(s, F.floor(F.size(s) / part).cast("int"))
-
-
-def quantile_nearest(x: Column, percent: float) -> Column:
-    """Nearest rank: sorted[round(percent / 100 * (n - 1))], ties to even."""
-    s = _sorted(x)
-    return F.get(s, F.least(F.rint(F.lit(percent / 100) * (F.size(s) - 1)), (F.size(s) - 1).cast("double")).cast("int"))
-
-
-def quantile_linear(x: Column, f: float) -> Column:
-    return F.percentile(x, F.lit(f))
-
-
 # -- proportions and tests -------------------------------------------------------------------------------------
 
 

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import timeline  # noqa: F401
+from . import evaluation, timeline  # noqa: F401

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from floorline import fixtures as fx
-from floorline.functions import exprs
-from floorline.operators import boundaries as bd, checks, gates, intervals, transcript, turns as tn
+from floorline.operators import boundaries as bd, checks, gates, intervals, ranking, transcript, turns as tn
 from floorline.registry import register
 
 _JOIN_WORDS = """list_reduce(list_prepend('', {}), lambda a, t: CASE WHEN t = '' THEN a WHEN a = '' THEN t
@@ -373,19 +372,18 @@ def clean_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn table in numbers."""
-    rows = tn.turns(fx.spans(spark, sf_dir)).select("duration_ms", "clean", "n_pauses", "n_absorbed", "eot_gap_ms")
-    return rows.agg(
+    rows = tn.turns(fx.spans(spark, sf_dir)).select("duration_ms", "clean", "n_pauses", "n_absorbed", "eot_gap_ms").persist()
+    ranked = ranking.at_ranks(rows, [], "duration_ms", {"duration_p50": ranking.rank_floor(0.5), "duration_p90": ranking.rank_floor(0.9)}).drop("n")
+    return F.broadcast(ranked).crossJoin(rows.agg(
         F.count("*").alias("n_turns"),
         F.count_if("clean").alias("n_clean"),
         F.sum("n_pauses").alias("n_pauses"),
         F.sum("n_absorbed").alias("n_absorbed"),
-        exprs.quantile_floor(F.col("duration_ms"), 0.5).alias("duration_p50"),
-        exprs.quantile_floor(F.col("duration_ms"), 0.9).alias("duration_p90"),
         F.max("duration_ms").alias("duration_max"),
         F.round(F.sum("duration_ms") / F.count("*"), 6).alias("duration_mean"),
         F.count_if(F.col("duration_ms") > 10_000).alias("over_10s"),
         F.count_if(F.col("eot_gap_ms") < 0).alias("overlapped"),
-    )
+    ))
 
 
 _CHECKS = (
