@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import calls, evaluation, timeline  # noqa: F401
+from . import calls, evaluation, exchange, timeline  # noqa: F401
