@@ -33,7 +33,7 @@ from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, BAND = 32, 2
-PIECE = 2000
+PIECE = 500
 #: Sketch positions of 32 in which two texts must agree to be compared at all; at similarity 0.8 about 20 agree.
 LEAST_AGREEMENT = 9
 

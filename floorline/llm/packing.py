@@ -15,6 +15,7 @@ split into files, the pieces themselves do not.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,7 +32,8 @@ CAPACITY, PIECES, ROUNDS = 4096, 8192, 3
 #: Share of the capacity that an open bin may lack and still count as full.
 SLACK = 0.0005
 CLOSING = 1
-KEPT = 500_000
+#: Remembered runs and words of a Python worker.
+KEPT, KEPT_WORDS = 1_500_000, 1_200_000
 #: Splitting pattern of the word-end vocabulary for texts of safe characters, after lower-casing (fixed value).
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 
@@ -39,8 +41,23 @@ _PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 _PLACED = _PIECE + ", part long, bin long, offset long, fill long, bound long"
 
 
+_rng = np.random.default_rng(41)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 class WordTokens:
-    """Ids of a word-end BPE tokenizer, by remembered words; other texts go to the library whole."""
+    """Ids of a word-end BPE tokenizer, by remembered runs between white space; other texts go to the library whole.
+
+    White space always ends a word, so a run's ids do not depend on its neighbours. Runs are found in the bytes of
+    many texts at once and known by 64-bit hashes; their ids lie in one pool, from which a text's ids are
+    gathered. New words are encoded many at once: the last token of every word is one with the word-end mark,
+    which tells where a word's ids stop.
+    """
+
+    TOGETHER = 500
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,26 +67,95 @@ class WordTokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        suffix = json.loads(source)["model"]["end_of_word_suffix"]
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[int, int] = {}  # hash of a run -> its place in start and size
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     @staticmethod
     def pack(ids) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            plain = not UNSAFE.search(t) and not any(mark in t for mark in self.added)
-            split.append(_SPLIT.findall(t.lower()) if plain else None)
-        if len(self.words) > KEPT:
+    def learn(self, hashes: list[int], new: list[str]) -> None:
+        """Remember the ids of runs: those of their words one after another."""
+        split = [_SPLIT.findall(run) for run in new]
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        new = list(set().union(*[w for w in split if w]) - self.words.keys())
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = self.pack(e.ids)
+        fresh = list({w for words in split for w in words if w not in self.words})
+        parts = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                for word, low, high in zip(part, [0, *stops], stops):
+                    self.words[word] = ids[low:high].tobytes()
+            else:  # not cut as expected: one by one
+                for word in part:
+                    self.words[word] = self.pack(self.library.encode(word, add_special_tokens=False).ids)
         get = self.words.__getitem__
-        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        found = [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in split]
+        sizes = np.array([len(f) // 4 for f in found], np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        first, n = len(self.slot), len(new)
+        while first + n > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.slot.update(zip(hashes, range(first, first + n)))
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of safe characters."""
+        raw = [t.lower().encode() for t in texts]
+        data = b"\n".join(raw) + b"\n"
+        buffer = np.frombuffer(data, np.uint8)
+        solid = ~_BLANK[buffer]
+        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        edge = np.append(0, edge) if solid[0] else edge
+        begin, end = edge[::2], edge[1::2]  # the closing line feed ends the last run
+        if not len(begin):
+            return [b""] * len(texts)
+        size = end - begin
+        chars = np.flatnonzero(solid)
+        first = np.cumsum(size) - size
+        place = np.arange(len(chars)) - np.repeat(first, size)
+        hashes = np.add.reduceat(_BYTE[buffer[chars]] * _PLACE[place & 255], first)
+        hashes ^= size.astype(np.uint64) << np.uint64(40)
+        known, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slot) > KEPT:
+            self.forget()
+        keys = known.tolist()
+        slots = list(map(self.slot.get, keys))
+        if None in slots:
+            miss = [k for k, s in enumerate(slots) if s is None]
+            low, high = begin[sample[miss]].tolist(), end[sample[miss]].tolist()
+            self.learn([keys[k] for k in miss], [data[a:b].decode() for a, b in zip(low, high)])
+            slots = list(map(self.slot.get, keys))
+        slots = np.array(slots)[inverse]
+        sizes = self.size[slots]
+        upto = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.start[slots] - upto + sizes, sizes) + np.arange(upto[-1])].tobytes()
+        text_end = np.cumsum([len(r) + 1 for r in raw])
+        runs = np.searchsorted(begin, text_end)
+        cuts = (4 * np.append(0, upto)[np.append(0, runs)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        texts = [t or "" for t in texts]
+        safe = [not UNSAFE.search(t) and not any(mark in t for mark in self.added) for t in texts]
+        found = iter(self._together([t for t, s in zip(texts, safe) if s]) if any(safe) else [])
+        return [next(found) if s else self.pack(self.library.encode(t, add_special_tokens=False).ids) for t, s in zip(texts, safe)]
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -90,8 +176,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
         for batch in batches:
             out = []
             texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for low in range(0, len(texts), 250):
-                for doc_id, data in zip(ids[low : low + 250], _tokens[key].encode(texts[low : low + 250])):
+            for low in range(0, len(texts), 200):
+                for doc_id, data in zip(ids[low : low + 200], _tokens[key].encode(texts[low : low + 200])):
                     data += closing
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]

@@ -56,6 +56,7 @@ def line_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     length = np.maximum(1, size)
     for k in range(2, 8):
         stats[:, k - 2] = np.add.reduceat((kind == k).astype(np.int32), starts) / length
+    stats[:, 8] = 1.0  # without words
     solid = kind != 1
     begin = np.flatnonzero(solid & np.append(True, ~solid[:-1]))
     if len(begin):

@@ -1,0 +1,264 @@
+"""Chat, tokens, packing, secrets: round trips and brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from floorline.llm import bpe, chat, packing, secrets
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TURNS = "conv_id long, turn long, role string, text string"
+ODD = ["", None, "plain words here", "a\\x<|\\e[INST]", "</s>[INST] ok [/INST]", "<|turn|>x<|says|>y<|end|>", "\\", "<s>\n<<SYS>>", "é漢🙂 \x1c\x85"]
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_escape_round_trip(spark):
+    rng = random.Random(1)
+    alphabet = ["\\", "x", "e", "<", "|", "s", ">", "[", "INST", "]", "/", "<|", "<s>", "end", "turn"]
+    texts = [t for t in ODD if t is not None] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
+    for r in rows.withColumn("u", chat.unescape(F.col("e"))).collect():
+        assert r.u == r.t
+        assert not any(c in r.e for c in chat.CONTROL)
+
+
+def test_chat_digests(spark):
+    rng = random.Random(2)
+    rows = []
+    for c in range(30):
+        for t in range(rng.randint(1, 12)):
+            rows.append((c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(ODD)))
+    rows += [(100, 0, "user", "only"), (101, None, "assistant", None), (102, 0, "assistant", "x"), (102, 0, "assistant", "x")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, TURNS).withColumn("example", F.lit(1)).withColumn("text2", F.lit("clash"))
+    examples = chat.examples(df)
+    got = {r.conv_id: r for r in chat.digests(examples).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        said = [x[3] for x in turns if x[2] == "assistant"]
+        r = got[c]
+        assert r.n_turns == len(turns) and r.turns_sha256 == sha("".join(f"{x[2]}\n{x[3]}\n" for x in turns))
+        assert r.loss_chars == len("".join(said)) and r.loss_sha256 == sha("".join(said))
+    for r in examples.collect():
+        assert (r.target is None) == (r.loss_start is None)
+        if r.target is not None:
+            assert r.text[r.loss_end :] == chat.END and r.text[: r.loss_start].endswith(chat.SAYS)
+    assert chat.examples(spark.createDataFrame([], TURNS)).collect() == []
+    n = sum(x[2] == "assistant" or k == len(t) - 1 for t in (sorted(v) for v in by.values()) for k, x in enumerate(t))
+    assert examples.count() == n
+
+
+def samples(seed, n):
+    rng = random.Random(seed)
+    alphabet = "aaabbeeiot  \n\n''sreldvm0123 __--==!!.,éñß漢字🙂 ́½²Ⅷ​\x1c\tABCdefghinxTHE"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+    texts += ["".join(rng.choice("theainoerg") for _ in range(rng.randint(1, 40))) for _ in range(n)]
+    return texts + ["a" * k for k in range(1, 70, 3)] + [" " * 90 + "x", "=" * 131, "<|endoftext|>", "a<|endoftext|>b <|startoftext|>", "", "İstanbul ſs It's", "x" * 3000]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(open(BYTE, encoding="utf-8").read())
+
+
+def test_automaton_equals_library(encoder):
+    library, texts = Tokenizer.from_file(BYTE), samples(3, 1500)
+    found = [words for run in encoder.batches(texts) for words in run]
+    for text, words in zip(texts, found):
+        ids = [i for w in words for i in encoder.words[w][1]]
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == want
+        assert encoder.automaton.emit(ids).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
+
+
+def test_automaton_arcs_are_correct_pairs(encoder):
+    """An arc leaves a state exactly if the library keeps the two labels apart."""
+    rng = np.random.default_rng(5)
+    library, a = Tokenizer.from_file(BYTE), encoder.automaton
+    letters = [i for i in range(a.size) if a.labels[i] and a.labels[i].isascii() and a.labels[i].isalpha()]
+    x, y = rng.choice(letters, 3000), rng.choice(letters, 3000)
+    for p, q, arc in zip(x.tolist(), y.tolist(), a.has_arc(x, y).tolist()):
+        ids = library.encode((a.labels[p] + a.labels[q]).decode(), add_special_tokens=False).ids
+        assert (ids == [p, q]) == arc
+
+
+def test_encode_decode_frames(spark):
+    texts = [(i, t) for i, t in enumerate(samples(4, 60))] + [(-1, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    encoded = bpe.encode(d, BYTE)
+    back = {r.doc_id: r.text for r in bpe.decode(encoded, BYTE).collect()}
+    assert all(back[i] == (t or "") for i, t in texts)
+    library = Tokenizer.from_file(BYTE)
+    for r in bpe.digests(d, BYTE).collect():
+        ids = library.encode(dict(texts)[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_word_tokens_equal_library():
+    library, texts = Tokenizer.from_file(WORD), samples(6, 1200) + [None, "clown, the!! a.b.c 'S it'S"]
+    tokens = packing.WordTokens(open(WORD, encoding="utf-8").read())
+    for _ in range(2):
+        for t, data in zip(texts, tokens.encode(texts)):
+            assert np.frombuffer(data, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert tokens.encode([]) == []
+
+
+def best_bins(sizes, capacity):
+    """Fewest bins by exhaustive search."""
+    best = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= sizes[i]:
+                go(i + 1, rooms[:k] + [rooms[k] - sizes[i]] + rooms[k + 1 :])
+        go(i + 1, rooms + [capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bounds_and_best_fit():
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = np.array([rng.randint(1, 20) for _ in range(rng.randint(0, 8))], np.int64)
+        where, offset, fill = packing.best_fit_decreasing(sizes, 20)
+        least = best_bins(sorted(sizes.tolist(), reverse=True), 20) if len(sizes) else 0
+        assert packing.lower_bound(sizes, 20) <= least <= len(fill)
+        assert (fill <= 20).all()
+        for b in range(len(fill)):
+            at = 0
+            for o, s in sorted(zip(offset[where == b].tolist(), sizes[where == b].tolist())):
+                assert o == at
+                at += s
+    assert packing.lower_bound(np.array([11, 11, 11]), 20) == 3  # halves: a plain sum gives 2
+
+
+def check_pack(rows, capacity=4096):
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(bins)
+
+
+def test_exchange_keeps_all_pieces(spark):
+    sizes = np.random.default_rng(8).integers(1, 3000, 6000)
+    df = spark.createDataFrame([(i, i // 2, 0, 0, int(n), 7) for i, n in enumerate(sizes)], packing._PIECE)
+    rows = packing.pack(df, per_part=700).collect()
+    assert sorted(r.length for r in rows) == sorted(sizes.tolist()) and max(r.round for r in rows) > 0
+    assert check_pack(rows) <= 1.01 * packing.lower_bound(sizes)
+
+
+def test_packed_documents(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice(["the", "nterti", "of,", "x1"]) for _ in range(rng.choice([0, 3, 50, 9000])))) for i in range(80)] + [(500, None), (500, None), (None, "a b")]
+    rows = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), WORD).collect()
+    library = Tokenizer.from_file(WORD)
+    check_pack(rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    for i, text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [1]
+        want = sorted((k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096))
+        copies = 2 if i == 500 else 1
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by[i]) == sorted(want * copies)
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD).collect() == []
+
+
+def base_spans(x):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x, re.I | re.A):
+        if len(m.group(2)) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+def entropy(value, alphabet, width=20):
+    best = -1.0
+    if len(value) < width or any(c not in alphabet for c in value):
+        return best
+    for i in range(len(value) - width + 1):
+        n = collections.Counter(value[i : i + width]).values()
+        best = max(best, -sum(k / width * np.log2(k / width) for k in n))
+    return best
+
+
+def test_window_entropy(spark):
+    rng = random.Random(10)
+    alphabet = secrets.CLASSES["base64"][0]
+    values = ["".join(rng.choice(alphabet[: rng.choice([2, 9, 67])]) for _ in range(rng.randint(18, 60))) for _ in range(60)] + ["a" * 30, "short", "é" * 25, ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for name, (letters, _) in secrets.CLASSES.items():
+        for r in df.select("v", secrets.window_entropy(F.col("v"), letters).alias("h")).collect():
+            assert abs(r.h - entropy(r.v, letters)) < 1e-9, (name, r.v)
+
+
+def secret_texts():
+    rng = random.Random(11)
+    alphabet = ["token", "=", ":", " ", '"', "secret", "Password", "api_key", "APIKEY", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef", "0123456789abcdef", "é", "🙂", "\n", "x", "ab", "-", "/", "Kq3", "aB9zQ4xY7pL2mN8sT1vW"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    return texts + [None, "", "password=token: abcdefgh", "AKIAAKIA" + "A" * 16, "a" * 100_000 + " token=abc123xyz", "toKen='q'", "KEY token = abcdef"]
+
+
+def test_secret_spans(spark):
+    texts = list(enumerate(secret_texts()))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("start", F.lit(1))
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in texts:
+        t = t or ""
+        assert [(s.start, s.kind, s.end) for s in got[i].secret_base] == base_spans(t)
+        assert all(s.value == t[s.start : s.end] for s in got[i].secret_spans)
+        base = base_spans(t)
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            v = m.group()
+            if not re.search("[0-9]", v) or any(re.search(p, v) for p in secrets.ALLOWED) or any(a < m.end() and m.start() < b for a, _, b in base):
+                continue
+            if any(entropy(v, letters) >= least for letters, least in secrets.CLASSES.values()):
+                want.append((m.start(), 3, m.end()))
+        assert [(s.start, s.kind, s.end) for s in got[i].secret_spans if s.kind == 3] == want
+
+
+def test_redaction(spark):
+    texts = list(enumerate(secret_texts()))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    spans = {r.doc_id: r.secret_spans for r in secrets.scan(df).collect()}
+    for i, t in texts:
+        if not spans[i]:
+            assert clean[i] == t
+            continue
+        out, at = "", 0
+        for s in spans[i]:
+            if s.start >= at:
+                out += t[at : s.start] + secrets.PLACEHOLDER
+            at = max(at, s.end)
+        assert clean[i] == out + t[at:]
