@@ -36,6 +36,8 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Rows of sqrt(w) * mean and sqrt(w) * deviation per segment; products of such rows bound inner products."""
+    if not x.shape[1]:
+        return np.zeros((len(x), 2))
     parts = np.array_split(x, min(segments, max(1, x.shape[1])), axis=1)
     cols = []
     for p in parts:
@@ -115,7 +117,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = QUERY_B
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         sizes = sorted({len(r["v"]) for r in got})
         held = spark.sparkContext.broadcast(
-            {n: (np.array([r["vec_id"] for r in got if len(r["v"]) == n], np.int64), np.array([r["v"] for r in got if len(r["v"]) == n], np.float64).reshape(-1, n)) for n in sizes}
+            {n: (np.array([r["vec_id"] for r in got if len(r["v"]) == n], np.int64), np.array([r["v"] for r in got if len(r["v"]) == n], np.float64).reshape(sum(len(r["v"]) == n for r in got), n)) for n in sizes}
         )
 
         def search(batches, held=held):
