@@ -15,10 +15,10 @@ split into files, the pieces themselves do not.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .bpe import LETTERS, UNSAFE
+from .bpe import LETTERS, UNSAFE, byte_letters
 
 CAPACITY, PIECES, ROUNDS = 4096, 8192, 3
 #: Share of the capacity that an open bin may lack and still count as full.
@@ -41,6 +41,8 @@ _PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 _PLACED = _PIECE + ", part long, bin long, offset long, fill long, bound long"
 
 
+#: Byte -> the character by which the vocabulary writes it.
+_LETTERS = {b: c for c, b in byte_letters().items()}
 _rng = np.random.default_rng(41)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -53,12 +55,9 @@ class WordTokens:
 
     White space always ends a word, so a run's ids do not depend on its neighbours. Runs are found in the bytes of
     many texts at once and known by 64-bit hashes; their ids lie in one pool, from which a text's ids are
-    gathered. New words are encoded many at once: the last token of every word is one with the word-end mark,
-    which tells where a word's ids stop.
+    gathered. New words go to the library's model as it writes bytes.
     """
 
-    TOGETHER = 500
-
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -67,10 +66,6 @@ class WordTokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        suffix = json.loads(source)["model"]["end_of_word_suffix"]
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.forget()
 
@@ -88,17 +83,10 @@ class WordTokens:
         split = [_SPLIT.findall(run) for run in new]
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        fresh = list({w for words in split for w in words if w not in self.words})
-        parts = [fresh[i : i + self.TOGETHER] for i in range(0, len(fresh), self.TOGETHER)]
-        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(part):
-                for word, low, high in zip(part, [0, *stops], stops):
-                    self.words[word] = ids[low:high].tobytes()
-            else:  # not cut as expected: one by one
-                for word in part:
-                    self.words[word] = self.pack(self.library.encode(word, add_special_tokens=False).ids)
+        tokenize = self.library.model.tokenize
+        for word in {w for words in split for w in words if w not in self.words}:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            self.words[word] = array("I", [t.id for t in tokenize(letters)]).tobytes()
         get = self.words.__getitem__
         found = [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in split]
         sizes = np.array([len(f) // 4 for f in found], np.int64)
