@@ -252,7 +252,7 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
         if not top:
             break
         pieces = F.ceil(F.col("count") / PIECE)
-        member = rows.join(many, "band").select("doc_id", "band", F.pmod(F.xxhash64("doc_id", F.lit(level)), pieces).alias("piece"), (F.col("count") > PIECE).alias("cut"))
+        member = rows.join(many, "band").select("doc_id", "band", F.pmod(F.xxhash64("doc_id", "band", F.lit(level)), pieces).alias("piece"), (F.col("count") > PIECE).alias("cut"))
         sketched = member.join(sketches.select("doc_id", "sketch"), "doc_id").select("band", "piece", "doc_id", "cut", "sketch")
         found = common.stored(_paired(sketched.repartition("band", "piece").sortWithinPartitions("band", "piece")), f"band-pairs-{level}")
         pairs.append(found.select("doc_id", F.explode(F.array("mate", "centre")).alias("mate")))
@@ -285,6 +285,77 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
     return both.where("doc_id <> mate").select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
 
 
+def _crossing(rows: DataFrame) -> DataFrame:
+    """a, b of the rows of one cell that are of different classes and agree; rows come sorted by band, low and high."""
+
+    def pairs(ids, kind, n, block, s, low, high):
+        for at in range(0, len(ids), 256):
+            part = slice(at, at + 256)
+            least, most = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
+            fits = (kind[part, None] != kind) & (least >= SIMILARITY * most)
+            # a cell of one block has each pair twice, a cell of two blocks the pairs of either block besides
+            fits &= (ids[part, None] < ids) if low == high else (block[part, None] == low) & (block == high)
+            x, y = np.nonzero(fits)
+            x += at
+            agree = np.zeros(len(x), np.int16)
+            for k in range(SKETCHES):
+                agree += s[x, k] == s[y, k]
+            like = agree >= LEAST_AGREEMENT
+            yield np.minimum(ids[x[like]], ids[y[like]]), np.maximum(ids[x[like]], ids[y[like]])
+
+    def emit(held, first):
+        band, low, high, ids, kind, n, block, s = held
+        size = np.diff(np.append(first, len(ids)))
+        two = first[(size == 2) & (low[first] == high[first])]
+        apart = (kind[two] != kind[two + 1]) & (np.minimum(n[two], n[two + 1]) >= SIMILARITY * np.maximum(n[two], n[two + 1]))
+        two = two[apart & ((s[two] == s[two + 1]).sum(axis=1) >= LEAST_AGREEMENT)]
+        found = [(np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]))]
+        for at, many in zip(first.tolist(), size.tolist()):
+            if many > 2 or many == 2 and low[at] != high[at]:
+                cell = slice(at, at + many)
+                found += pairs(ids[cell], kind[cell], n[cell], block[cell], s[cell], low[at], high[at])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCHES)
+            now = [*(np.asarray(batch[c]) for c in ("band", "low", "high", "doc_id", "class_id", "n", "block")), s]
+            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in held[:3]], axis=0))
+            first = np.flatnonzero(new)
+            if len(first) > 1:  # the last cell may go on in the next batch
+                end = first[-1]
+                yield emit([x[:end] for x in held], first[:-1])
+                held = [x[end:] for x in held]
+        if held is not None:
+            yield emit(held, np.array([0]))
+
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def crossing_pairs(sketches: DataFrame, label: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct pairs a < b, not among known, that share a band, agree, and are of different classes under label.
+
+    Every such pair is found: keys of more than PIECE texts are dealt into blocks, and each two blocks meet in a cell.
+    """
+    named = sketches.join(label, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    n = F.greatest(F.lit(1), F.length("codes") / 4 - (SHINGLE - 1)).cast("long")
+    named = common.stored(named.select("doc_id", "class_id", n.alias("n"), "sketch", "bands"), "named")
+    rows = named.select("doc_id", "class_id", F.explode("bands").alias("band"))
+    mixed = rows.groupBy("band").agg(F.count("*").alias("count"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
+    mixed = common.stored(mixed.where("least <> most").select("band", F.ceil(F.col("count") / PIECE).alias("blocks")), "mixed-keys")
+    member = rows.join(mixed, "band").select("doc_id", "band", F.pmod(F.xxhash64("doc_id", "band"), "blocks").alias("block"), "blocks")
+    member = member.join(named.select("doc_id", "class_id", "n", "sketch"), "doc_id")
+    cells = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    common.prepare(sketches.sparkSession)
+    found = _crossing(cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")).distinct()
+    return found.join(known, ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the pairs whose banded alignment reaches least."""
     spark = pairs.sparkSession
@@ -347,8 +418,14 @@ def classes(documents: DataFrame) -> DataFrame:
     # copies other than the representative are left out here, not before: their texts need no shuffle for that
     others = usable.join(copies.where("n_copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
     reps = common.stored(sketches.join(others, "doc_id", "left_anti"), "representatives")
-    links = common.stored(verified(common.stored(candidate_pairs(reps), "pairs"), reps).dropDuplicates(["a", "b"]), "links")
+    pairs = common.stored(candidate_pairs(reps), "pairs")
+    links = common.stored(verified(pairs, reps).dropDuplicates(["a", "b"]), "links")
     label = components(links)
+    # what the pieces kept apart; pairs within a class can no longer change it
+    more = common.stored(verified(common.stored(crossing_pairs(reps, label, pairs), "crossing-pairs"), reps), "more-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     named = copies.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -105,6 +105,23 @@ def test_large_keys_are_cut_and_joined(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in range(len(texts))) <= 2
 
 
+def test_pairs_under_keys_far_over_a_piece(spark, monkeypatch):
+    """Texts mostly of one passage, half of them with a copy that shares hardly more than it: no copy is lost to another piece."""
+    monkeypatch.setattr(near_dup, "PIECE", 8)
+    rng = random.Random(7)
+    passage, texts = words(rng, 100), []
+    for i in range(180):
+        own = words(rng, 20)
+        texts.append(" ".join(passage + own))
+        if i % 2 == 0:
+            texts.append(" ".join(passage + own[:9] + words(rng, 11)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    want = truth(texts)
+    assert len(set(want)) == 180
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 103), (102, 103)]
     got = {r.doc_id: r.class_id for r in near_dup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
