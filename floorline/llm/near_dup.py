@@ -9,8 +9,11 @@ Copies are first folded into one representative by digest. Of each band key with
 most about PIECE: there every text is paired with the centre of its cluster (the text that agrees most with
 the cluster's majority sketch) and with the text that agrees most with it. Keys with more texts are cut into
 pieces whose centres meet again under the same key, until one piece is left, and the final centres are paired
-with all members. Where most texts under a key are unlike and centres do not get fewer, the key is joined with
-each of the text's other bands. So pairs grow with the texts and never with the square of a group.
+with all members. This is decided for each key: where most texts under a key are unlike, its centres do not get
+fewer and it is left. From the links so found follow first classes; then every two texts of different classes
+under one key, of whatever size, that agree in LEAST_AGREEMENT sketches are compared too, keys of more than PIECE
+texts block by block. So no such pair that could join two classes is left out; the comparisons of sketches grow with
+the square of the number of texts under a key that has several classes, those of texts with the pairs that agree.
 
 A pair is a link if the longest common subsequence of labelled shingles within a band around the diagonal, over
 the shingles of both less that number, is at least SIMILARITY. Classes are connected components of links, found by
@@ -35,8 +38,6 @@ from . import common
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, BAND = 32, 2
 PIECE = 500
-#: Times that keys under which texts stay unlike are joined with the other bands; each parts such texts about sixteenfold.
-FINER = 3
 #: Sketch positions of 32 in which two texts must agree to be compared at all; at similarity 0.8 about 20 agree.
 LEAST_AGREEMENT = 9
 
@@ -245,7 +246,7 @@ def _paired(rows: DataFrame) -> DataFrame:
 def candidate_pairs(sketches: DataFrame) -> DataFrame:
     """Distinct pairs a < b of representatives to compare."""
     rows = sketches.select("doc_id", F.explode("bands").alias("band"))
-    pairs, owners, level, finer = [], None, 0, 0
+    pairs, owners, level = [], None, 0
     while True:
         many = common.stored(rows.groupBy("band").count().where("count > 1"), f"band-counts-{level}")
         top = many.agg(F.max("count")).first()[0]
@@ -264,18 +265,13 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
         if top <= PIECE:
             break
         cut = found.where("cut")
-        centres = common.stored(cut.select("band", F.col("centre").alias("doc_id")).distinct(), f"band-centres-{level}")
-        if centres.count() <= 0.5 * cut.count():
-            if owners is None:
-                owners = cut.select("doc_id", F.col("centre").alias("below"), "band")
-            rows = centres.select("doc_id", "band")
-        else:  # mostly unlike texts under one key: texts alike share one of the other bands as well
-            finer += 1
-            if finer > FINER:
-                break
-            both = F.filter("bands", lambda b: b != F.col("band"))
-            rows = centres.join(sketches.select("doc_id", "bands"), "doc_id").select("doc_id", F.explode(F.transform(both, lambda b: F.xxhash64("band", b))).alias("band"))
-            rows, owners = common.stored(rows.distinct(), f"band-finer-{level}"), None
+        tally = cut.groupBy("band").agg(F.count("*").alias("members"), F.count_distinct("centre").alias("centres"))
+        # mostly unlike texts under a key: their centres would not get fewer, and crossing_pairs compares them all
+        merging = common.stored(tally.where("centres <= 0.5 * members").select("band"), f"band-merging-{level}")
+        cut = cut.join(merging, "band")
+        if owners is None:
+            owners = cut.select("doc_id", F.col("centre").alias("below"), "band")
+        rows = common.stored(cut.select(F.col("centre").alias("doc_id"), "band").distinct(), f"band-centres-{level}")
         level += 1
     if not pairs:
         return sketches.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)

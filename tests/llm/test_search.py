@@ -122,6 +122,20 @@ def test_pairs_under_keys_far_over_a_piece(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_a_key_of_copies_is_merged_beside_one_of_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PIECE", 8)
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 1 << 16, near_dup.SKETCHES).astype(np.uint16)
+    rows = [(i, [1], one.tobytes()) for i in range(64)]
+    rows += [(i, [2], rng.integers(0, 1 << 16, near_dup.SKETCHES).astype(np.uint16).tobytes()) for i in range(64, 464)]
+    df = spark.createDataFrame(rows, "doc_id long, bands array<long>, sketch binary")
+    mates = {i: set() for i in range(464)}
+    for r in near_dup.candidate_pairs(df).collect():
+        mates[r.a].add(r.b)
+        mates[r.b].add(r.a)
+    assert max(len(mates[i]) for i in range(64)) == 63  # the final centre is paired with all members
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 103), (102, 103)]
     got = {r.doc_id: r.class_id for r in near_dup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
