@@ -1,10 +1,10 @@
 """Secret scan in DataFrame functions only: fixed patterns, and sliding-window Shannon entropy.
 
 Patterns give the spans `assign`, `access` and `hex`. Besides, every maximal run of 20 or more characters of
-the base-64 alphabet that has a digit is a candidate: windows of 20 characters slide over it, counts per
-character of each class (hexadecimal, base-64) are kept by adding the entering and taking off the leaving
+the base-64 alphabet is a candidate: windows of 20 characters slide over it, counts per
+character of each class (hexadecimal of either case, base-64) are kept by adding the entering and taking off the leaving
 character, and the entropy follows from the running sum of c * log2(c). A candidate is a span of kind
-`entropy` if a class that holds its whole text reaches that class's threshold in some window, unless the
+`entropy`, or `letters` if it has no digit, if a class that holds its whole text reaches that class's threshold in some window, unless the
 allow-list (UUIDs, runs of one letter case without digits, counting runs, known dummy words) suppresses it or a pattern's span already
 covers it.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Kinds in the order that breaks ties of start (fixed values).
-KINDS = ("assign", "access", "hex", "entropy")
+KINDS = ("assign", "access", "hex", "entropy", "letters")
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
 #: Runs are maximal, so a least length in the pattern drops the same matches as a later test.
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -27,11 +27,11 @@ HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Alphabets and entropy thresholds in bits a character.
-CLASSES = {"hexadecimal": ("0123456789abcdef", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6)}
+CLASSES = {"hexadecimal": ("0123456789abcdefABCDEF", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6)}
 ALLOWED = (
     "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     "^[0-9_=+/-]+$",
-    "^[^0-9]+$",
+    "^([a-z]+|[A-Z]+)$",
     "^([A-Z][a-z]+|[a-z]+)([-_/=+]([A-Z]?[a-z]+|[0-9]+))*$",
     "(?i)(example|placeholder|0123456789|abcdefghij|xxxxxxxx)",
 )
@@ -93,16 +93,22 @@ def _candidate(span: Column) -> Column:
     return F.when(allowed, False).otherwise(high)
 
 
+def _by_digits(span: Column) -> Column:
+    """The span, of kind `letters` if it has no digit."""
+    kind = F.when(F.regexp_like(span["value"], F.lit("[0-9]")), 3).otherwise(4)
+    return F.struct(span["start"].alias("start"), kind.alias("kind"), span["end"].alias("end"), span["value"].alias("value"))
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """documents with `secret_base` and `secret_spans`: arrays of (start, kind, end, value), sorted.
 
-    kind is a place in KINDS. The added spans of kind `entropy` never overlap a base span.
+    kind is a place in KINDS. The added spans of kind `entropy` and `letters` never overlap a base span.
     """
     text = F.coalesce("text", F.lit(""))
     value_chars = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, value_chars), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     found = documents.withColumn("secret_base", base)
-    found = found.withColumn("secret_runs", _spans(text, CANDIDATE, 3, lambda s: F.regexp_like(s["value"], F.lit("[0-9]"))))
+    found = found.withColumn("secret_runs", F.transform(_spans(text, CANDIDATE, 3), _by_digits))
     apart = F.filter("secret_runs", lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     found = found.withColumn("secret_runs", F.filter(apart, _candidate))
     return found.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "secret_runs"))).drop("secret_runs")

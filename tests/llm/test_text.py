@@ -247,6 +247,18 @@ def test_secret_spans(spark):
         assert [(s.start, s.kind, s.end) for s in got[i].secret_spans if s.kind == 3] == want
 
 
+def test_upper_case_hex_and_letters_only(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (20, 24, 32, 64) for _ in range(10)]
+    mixed = "qWzRtYpLkJhGfDsXcVbNmQaZ"
+    plain = ["abcdefghqrstuvwxyzklmnop", "QWERTYUIOPASDFGHJKLZXC", "some/path-with_plain/words"]
+    df = spark.createDataFrame(list(enumerate([f"a {k} b" for k in [*keys, mixed, *plain]])), "doc_id long, text string")
+    got = {r.doc_id: [secrets.KINDS[s.kind] for s in r.secret_spans] for r in secrets.scan(df).collect()}
+    want = [bool(entropy(k, secrets.CLASSES["hexadecimal"][0]) >= 3.0) for k in keys]
+    assert sum(want) >= 36 and [got[i] for i in range(len(keys))] == [["entropy"] * w for w in want]
+    assert [got[len(keys) + i] for i in range(4)] == [["letters"], [], [], []]
+
+
 def test_redaction(spark):
     texts = list(enumerate(secret_texts()))
     df = spark.createDataFrame(texts, "doc_id long, text string")
