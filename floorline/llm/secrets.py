@@ -6,7 +6,7 @@ character of each class (hexadecimal of either case, base-64) are kept by adding
 character, and the entropy follows from the running sum of c * log2(c). A candidate is a span of kind
 `entropy`, or `letters` if it has no digit, if a class that holds its whole text reaches that class's threshold in some window, unless the
 allow-list (UUIDs, runs of one letter case without digits, counting runs, known dummy words) suppresses it or a pattern's span already
-covers it.
+covers it. Of a run that a pattern's span covers in part, each uncovered part is a candidate, of kind `rest`.
 
 Positions come from the alternation of split and match lengths, in code points, end exclusive.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Kinds in the order that breaks ties of start (fixed values).
-KINDS = ("assign", "access", "hex", "entropy", "letters")
+KINDS = ("assign", "access", "hex", "entropy", "letters", "rest")
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
 #: Runs are maximal, so a least length in the pattern drops the same matches as a later test.
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -99,10 +99,24 @@ def _by_digits(span: Column) -> Column:
     return F.struct(span["start"].alias("start"), kind.alias("kind"), span["end"].alias("end"), span["value"].alias("value"))
 
 
+def _rests(span: Column, base: Column) -> Column:
+    """The parts of a run, of kind `rest` and WINDOW characters or more, that no base span covers; base comes by start."""
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
+    part = lambda low, high: F.struct(low.alias("start"), F.lit(5).alias("kind"), high.alias("end"), F.substring(span["value"], (low - span["start"] + 1).cast("int"), (high - low).cast("int")).alias("value"))
+    more = lambda acc, high: F.when(high - acc["at"] >= WINDOW, F.concat(acc["found"], F.array(part(acc["at"], high)))).otherwise(acc["found"])
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, F.least(b["start"], span["end"])).alias("found"))
+    return F.aggregate(base, F.struct(span["start"].alias("at"), empty.alias("found")), step, lambda acc: more(acc, span["end"]))
+
+
+def _rest_candidate(span: Column) -> Column:
+    """Scored without the marks at its ends, which may only join it to the pattern's span."""
+    return _candidate(F.struct(F.regexp_replace(span["value"], "^[-_/=+]+|[-_/=+]+$", "").alias("value")))
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """documents with `secret_base` and `secret_spans`: arrays of (start, kind, end, value), sorted.
 
-    kind is a place in KINDS. The added spans of kind `entropy` and `letters` never overlap a base span.
+    kind is a place in KINDS. The added spans of kind `entropy`, `letters` and `rest` never overlap a base span.
     """
     text = F.coalesce("text", F.lit(""))
     value_chars = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6
@@ -110,7 +124,10 @@ def scan(documents: DataFrame) -> DataFrame:
     found = documents.withColumn("secret_base", base)
     found = found.withColumn("secret_runs", F.transform(_spans(text, CANDIDATE, 3), _by_digits))
     apart = F.filter("secret_runs", lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("secret_runs", F.filter(apart, _candidate))
+    touched = F.filter("secret_runs", lambda s: F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rests = F.flatten(F.transform(touched, lambda s: _rests(s, F.col("secret_base"))))
+    found = found.withColumn("secret_rests", F.filter(rests, _rest_candidate))
+    found = found.withColumn("secret_runs", F.concat(F.filter(apart, _candidate), "secret_rests")).drop("secret_rests")
     return found.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "secret_runs"))).drop("secret_runs")
 
 
