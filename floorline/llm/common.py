@@ -57,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not use, whatever the case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds

@@ -1,51 +1,74 @@
 """Secret scan in DataFrame functions only: fixed patterns, and sliding-window Shannon entropy.
 
-Patterns give the spans `assign`, `access` and `hex`. Besides, every maximal run of 20 or more characters of
-the base-64 alphabet is a candidate: windows of 20 characters slide over it, counts per
-character of each class (hexadecimal of either case, base-64) are kept by adding the entering and taking off the leaving
-character, and the entropy follows from the running sum of c * log2(c). A candidate is a span of kind
-`entropy`, or `letters` if it has no digit, if a class that holds its whole text reaches that class's threshold in some window, unless the
-allow-list (UUIDs, runs of one letter case without digits, counting runs, known dummy words) suppresses it or a pattern's span already
-covers it. Of a run that a pattern's span covers in part, each uncovered part is a candidate, of kind `rest`.
-
-Positions come from the alternation of split and match lengths, in code points, end exclusive.
-
-Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; other
-columns are left alone. Nothing crosses rows, so nothing is shuffled.
+Patterns give the spans `assign`, `access` and `hex`. Their matches are then blanked, and every maximal run of 20 or
+more characters of the base-64 alphabet in what is left is a candidate, so the uncovered rest of a run beside a
+pattern's span is one too. A window of 20 characters slides over a candidate; counts per character are kept by adding
+the entering and taking off the leaving character, and the entropy follows from the running sum of c * log2(c). Each
+class of characters has its threshold: windows of hexadecimal digits with letters and figures among them, and windows
+of any base-64 characters. A candidate is a span of kind `entropy`, or `letters` if it has no digit, if a window of
+some class reaches that class's threshold, unless the allow-list (UUIDs, runs of one letter case or of digits, words
+and numbers joined by marks or by capitals, known dummy words) suppresses it. The allow-list looks at a candidate
+without the marks at its ends.
+
+A candidate's characters are taken apart once and every step costs the same, so the time is linear in a run's length;
+no pattern backtracks or recurses over a run. Positions come from the alternation of split and match lengths, in code
+points, end exclusive.
+
+Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; an empty table
+gives no rows; other columns are left alone, but columns that bear the names of the two results are replaced. Nothing
+crosses rows, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 #: Kinds in the order that breaks ties of start (fixed values).
-KINDS = ("assign", "access", "hex", "entropy", "letters", "rest")
+KINDS = ("assign", "access", "hex", "entropy", "letters")
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
 #: Runs are maximal, so a least length in the pattern drops the same matches as a later test.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Alphabets and entropy thresholds in bits a character.
-CLASSES = {"hexadecimal": ("0123456789abcdefABCDEF", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6)}
+#: Figures first, then hexadecimal letters, then the rest of base-64; and the thresholds in bits a character.
+ALPHABET = "0123456789" + "abcdefABCDEF" + "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
+FIGURES, HEXADECIMAL = 10, 22
+LEAST = {"hexadecimal": 3.0, "base64": 3.6}
+#: Possessive, so that the matcher neither backtracks nor recurses over long runs.
 ALLOWED = (
-    "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    "^[0-9_=+/-]+$",
-    "^([a-z]+|[A-Z]+)$",
-    "^([A-Z][a-z]+|[a-z]+)([-_/=+]([A-Z]?[a-z]+|[0-9]+))*$",
-    "(?i)(example|placeholder|0123456789|abcdefghij|xxxxxxxx)",
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "^[0-9_=+/-]++$",
+    "^(?:[a-z]++|[A-Z]++)$",
+    "^(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[0-9]++)(?:[-_/=+]++(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++|[0-9]++))*+$",
+    "(?i)(?:example|placeholder|0123456789|abcdefghij|xxxxxxxx)",
 )
 PLACEHOLDER = "<SECRET>"
+#: Stands for a character under a pattern's span; of no class.
+BLANK = " "
 
 
 def _length(x: Column) -> Column:
     return F.length(x).cast("long")
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """Array of (gap, hit): the text as its pieces between matches and the matches, left to right."""
+    gaps = F.split(text, pattern, -1)
+    return F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+
+
 def _spans(text: Column, pattern: str, kind: int, passes=None) -> Column:
     """Array of (start, order, end, value) of the pattern's matches, left to right."""
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
 
     def step(acc, p):
@@ -54,43 +77,91 @@ def _spans(text: Column, pattern: str, kind: int, passes=None) -> Column:
         found = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("value")))
         return F.struct(end.alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
-    seen = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    seen = F.aggregate(_parts(text, pattern), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
     found = F.when(F.regexp_like(text, F.lit(pattern)), seen).otherwise(empty)
     return F.filter(found, passes) if passes else found
 
 
-def window_entropy(value: Column, alphabet: str, width: int = WINDOW) -> Column:
-    """Largest entropy of a window of `width` characters of value, counting characters of the alphabet.
+def _blanked(text: Column, pattern: str, passes=None) -> Column:
+    """The text with BLANK for every character of a match that passes; positions stay as they are."""
 
-    -1 for a value that is shorter than a window or holds another character.
-    """
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-    part = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-    zero = F.array_repeat(F.lit(0.0), len(alphabet) + 1)
+    def piece(p):
+        hit = F.coalesce(p["hit"], F.lit(""))
+        gone = F.repeat(F.lit(BLANK), F.length(hit))
+        return F.concat(p["gap"], F.when(passes(hit), gone).otherwise(hit) if passes else gone)
 
-    def step(acc, i):
-        new, old = at(i), F.when(i > width, at(i - width)).otherwise(0)
-        up, down = F.get(acc["counts"], new), F.when(old == new, F.get(acc["counts"], old) + 1).otherwise(F.get(acc["counts"], old))
-        total = acc["total"] + part(up + 1) - part(up) - F.when(old > 0, part(down) - part(down - 1)).otherwise(0.0)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1.0).otherwise(0.0) - F.when((k == old) & (old > 0), 1.0).otherwise(0.0))
-        entropy = F.when(i >= width, F.lit(float(width)) * F.log2(F.lit(float(width))) - total).otherwise(-float(width)) / width
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc["best"], entropy).alias("best"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(F.transform(_parts(text, pattern), piece), "")).otherwise(text)
 
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
-    best = F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda acc: acc["best"])
-    inside = F.regexp_like(value, F.lit("^[" + alphabet.replace("-", "\\-").replace("/", "\\/") + "]+$"))
-    return F.when((F.length(value) >= width) & inside, best).otherwise(-1.0)
+
+def window_entropy(value: Column, width: int = WINDOW) -> Column:
+    """Struct of the largest entropy of a window of `width` characters: `hexadecimal` and `base64`.
+
+    A window counts for a class if all its characters are of it, and for `hexadecimal` if letters and figures are among
+    them; -1 for a class without such a window. Characters outside the alphabet count as one more symbol of no class.
+    """
+    place = [0] * 128
+    for at, c in enumerate(ALPHABET, 1):
+        place[ord(c)] = at
+    letter = lambda c: F.coalesce(F.get(F.lit(place), F.ascii(c)), F.lit(0)) + 1
+    # what a symbol's next occurrence adds to the sum of c * log2(c), by its count so far
+    gain = F.lit([(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(width + 1)])
+    n, full = len(ALPHABET) + 1, float(width)
+
+    def paired(codes):
+        """(new, old): the entering and the leaving symbol of every step; old is 0 until the window is full."""
+        return F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(0)).alias("old"), (i >= width - 1).alias("whole")))
+
+    # counts are letters of a string, 'A' for none: one place is read and overwritten without copying an array of boxes
+    count = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1))) - 65
+    put = lambda counts, at, c: F.overlay(counts, F.char(c + 65), at, F.lit(1))
+    one = lambda test: F.when(test, 1).otherwise(0)
+    symbol = lambda c: (c > 1) & (c <= FIGURES + 1)
+    hex_letter = lambda c: (c > FIGURES + 1) & (c <= HEXADECIMAL + 1)
+    foreign = lambda c: c == 1
+
+    def step(acc, p):
+        new, old = p["new"], p["old"]
+        added = F.struct(
+            put(acc["counts"], new, count(acc["counts"], new) + 1).alias("counts"),
+            (acc["total"] + F.get(gain, count(acc["counts"], new))).alias("total"),
+        )
+        taken = lambda a: F.struct(
+            put(a["counts"], old, count(a["counts"], old) - 1).alias("counts"),
+            (a["total"] - F.get(gain, count(a["counts"], old) - 1)).alias("total"),
+        )
+        same = F.struct(acc["counts"].alias("counts"), acc["total"].alias("total"))
+        now = F.when(new == old, same).otherwise(F.when(old > 0, _bind(added, taken)).otherwise(added))
+        keep = lambda test, name: (acc[name] + one(test(new)) - one((old > 0) & test(old))).alias(name)
+        moved = F.struct(now.alias("now"), keep(symbol, "figures"), keep(hex_letter, "letters"), keep(foreign, "foreign"))
+
+        def scored(m):
+            entropy = F.lit(math.log2(full)) - m["now"]["total"] / full
+            hexadecimal = p["whole"] & (m["figures"] + m["letters"] == width) & (m["figures"] > 0) & (m["letters"] > 0)
+            return F.struct(
+                m["now"]["counts"].alias("counts"),
+                m["now"]["total"].alias("total"),
+                *(m[c].alias(c) for c in ("figures", "letters", "foreign")),
+                F.when(hexadecimal, F.greatest(acc["hexadecimal"], entropy)).otherwise(acc["hexadecimal"]).alias("hexadecimal"),
+                F.when(p["whole"] & (m["foreign"] == 0), F.greatest(acc["base64"], entropy)).otherwise(acc["base64"]).alias("base64"),
+            )
+
+        return _bind(moved, scored)
+
+    zero = F.lit(0)
+    start = F.struct(
+        F.lit("A" * n).alias("counts"), F.lit(0.0).alias("total"), zero.alias("figures"), zero.alias("letters"), zero.alias("foreign"),
+        F.lit(-1.0).alias("hexadecimal"), F.lit(-1.0).alias("base64"),
+    )
+    best = lambda acc: F.struct(acc["hexadecimal"].alias("hexadecimal"), acc["base64"].alias("base64"))
+    codes = F.transform(F.split(value, ""), letter)
+    return F.aggregate(_bind(codes, paired), start, step, best)
 
 
 def _candidate(span: Column) -> Column:
-    value = span["value"]
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | F.regexp_like(value, F.lit(pattern))
-    high = F.lit(False)
-    for alphabet, least in CLASSES.values():
-        high = high | (window_entropy(value, alphabet) >= least)
-    return F.when(allowed, False).otherwise(high)
+    inner = F.regexp_replace(span["value"], "^[-_/=+]++|(?<![-_/=+])[-_/=+]++$", "")
+    allowed = lambda v: F.array_max(F.array(*(F.regexp_like(v, F.lit(pattern)) for pattern in ALLOWED)))
+    high = lambda e: (e["hexadecimal"] >= LEAST["hexadecimal"]) | (e["base64"] >= LEAST["base64"])
+    return F.when(_bind(inner, allowed), False).otherwise(_bind(window_entropy(span["value"]), high))
 
 
 def _by_digits(span: Column) -> Column:
@@ -99,36 +170,26 @@ def _by_digits(span: Column) -> Column:
     return F.struct(span["start"].alias("start"), kind.alias("kind"), span["end"].alias("end"), span["value"].alias("value"))
 
 
-def _rests(span: Column, base: Column) -> Column:
-    """The parts of a run, of kind `rest` and WINDOW characters or more, that no base span covers; base comes by start."""
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    part = lambda low, high: F.struct(low.alias("start"), F.lit(5).alias("kind"), high.alias("end"), F.substring(span["value"], (low - span["start"] + 1).cast("int"), (high - low).cast("int")).alias("value"))
-    more = lambda acc, high: F.when(high - acc["at"] >= WINDOW, F.concat(acc["found"], F.array(part(acc["at"], high)))).otherwise(acc["found"])
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), more(acc, F.least(b["start"], span["end"])).alias("found"))
-    return F.aggregate(base, F.struct(span["start"].alias("at"), empty.alias("found")), step, lambda acc: more(acc, span["end"]))
-
-
-def _rest_candidate(span: Column) -> Column:
-    """Scored without the marks at its ends, which may only join it to the pattern's span."""
-    return _candidate(F.struct(F.regexp_replace(span["value"], "^[-_/=+]+|[-_/=+]+$", "").alias("value")))
-
-
-def scan(documents: DataFrame) -> DataFrame:
-    """documents with `secret_base` and `secret_spans`: arrays of (start, kind, end, value), sorted.
+def scan(documents: DataFrame, base: str = "secret_base", spans: str = "secret_spans") -> DataFrame:
+    """documents with the columns `base` and `spans`: arrays of (start, kind, end, value), sorted.
 
-    kind is a place in KINDS. The added spans of kind `entropy`, `letters` and `rest` never overlap a base span.
+    kind is a place in KINDS; `spans` holds those of `base` and the method's.
     """
     text = F.coalesce("text", F.lit(""))
-    value_chars = lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 6
-    base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, value_chars), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    found = documents.withColumn("secret_base", base)
-    found = found.withColumn("secret_runs", F.transform(_spans(text, CANDIDATE, 3), _by_digits))
-    apart = F.filter("secret_runs", lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    touched = F.filter("secret_runs", lambda s: F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rests = F.flatten(F.transform(touched, lambda s: _rests(s, F.col("secret_base"))))
-    found = found.withColumn("secret_rests", F.filter(rests, _rest_candidate))
-    found = found.withColumn("secret_runs", F.concat(F.filter(apart, _candidate), "secret_rests")).drop("secret_rests")
-    return found.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "secret_runs"))).drop("secret_runs")
+    chars = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 6
+    patterns = F.array_sort(F.concat(_spans(text, ASSIGN, 0, lambda s: chars(s["value"])), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    rest, runs = (common.fresh(documents, n) for n in ("secret_rest", "secret_runs"))
+    found = documents.withColumn(base, patterns)
+    blanks = (_blanked(text, ASSIGN, chars), _blanked(text, ACCESS), _blanked(text, HEX))
+    either = lambda a, b: F.when(a == BLANK, a).otherwise(b)
+    letters = [F.split(b, "") for b in blanks]
+    every = F.array_join(F.zip_with(F.zip_with(letters[0], letters[1], either), letters[2], either), "")
+    kinds = F.array_distinct(F.transform(F.col(base), lambda s: s["kind"]))
+    only = lambda k: F.when(F.get(kinds, F.lit(0)) == k, blanks[k])
+    bare = F.when(F.size(kinds) > 1, every).otherwise(F.coalesce(*(only(k) for k in range(3)), text))
+    found = found.withColumn(rest, bare)
+    found = found.withColumn(runs, F.transform(F.filter(_spans(F.col(rest), CANDIDATE, 3), _candidate), _by_digits))
+    return found.withColumn(spans, F.array_sort(F.concat(base, runs))).drop(rest, runs)
 
 
 def joined(spans: Column) -> Column:
@@ -137,8 +198,9 @@ def joined(spans: Column) -> Column:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents with every span's characters replaced by PLACEHOLDER; overlapping spans merge; other texts as they were."""
-    found = scan(documents)
+    """documents with every span's characters replaced by PLACEHOLDER; overlapping spans merge; other texts and columns as they were."""
+    base, spans = common.fresh(documents, "secret_base"), common.fresh(documents, "secret_spans")
+    found = scan(documents, base, spans)
     text = F.coalesce("text", F.lit(""))
 
     def step(acc, s):
@@ -150,5 +212,5 @@ def redact(documents: DataFrame) -> DataFrame:
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(1 << 30)))
-    clean = F.aggregate("secret_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, rest)
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))).drop("secret_base", "secret_spans")
+    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, rest)
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).drop(base, spans)
