@@ -3,10 +3,11 @@
 Texts become token pieces of at most CAPACITY; only longer texts are cut. Pieces are dealt into partitions of
 about PIECES each, and every partition runs best-fit decreasing. Dual-feasible functions (thresholds that
 round sizes near the capacity up and small ones down, and the stepwise functions u_k) give a lower bound on a
-partition's bins. A partition that reaches its bound, and whose bins are full, is certified and final. The
-others have gaps: they keep their full bins and put the pieces of the open ones into an exchange; the
-exchanged pieces are dealt anew and packed again, for ROUNDS rounds or until the exchange itself reaches its
-bound.
+partition's bins. A partition whose bins meet the bound is certified: none of its pieces moves again. The
+others have gaps: they keep their full bins and put the pieces of the open ones into an exchange, which is
+dealt anew and packed by best-fit decreasing in the next round. The exchange ends when at most one partition
+has a gap (it has nobody to exchange with), when a round saved no bin, or after ROUNDS rounds. Every row
+carries the certificate of the packing that placed it: the bins and the bound of its partition.
 
 Defined results: a null text counts as empty and still takes a sequence place for its closing id; repeated
 rows are packed each; an empty table gives no rows. Which sequence a piece goes to depends on how the input is
@@ -18,7 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +29,40 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .bpe import LETTERS, UNSAFE, byte_letters
 
-CAPACITY, PIECES, ROUNDS = 4096, 8192, 3
+CAPACITY, PIECES, ROUNDS = 4096, 32768, 4
 #: Share of the capacity that an open bin may lack and still count as full.
 SLACK = 0.0005
 CLOSING = 1
-#: Remembered runs and words of a Python worker.
-KEPT, KEPT_WORDS = 1_500_000, 1_200_000
+#: Remembered words of a Python worker.
+KEPT = 1_000_000
 #: Splitting pattern of the word-end vocabulary for texts of safe characters, after lower-casing (fixed value).
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+_SPLIT = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9{LETTERS}]+")
 
 _PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = _PIECE + ", part long, bin long, offset long, fill long, bound long"
+_PLACED = _PIECE + ", part long, bin long, offset long, fill long, bins long, bound long"
 
 
 #: Byte -> the character by which the vocabulary writes it.
 _LETTERS = {b: c for c, b in byte_letters().items()}
-_rng = np.random.default_rng(41)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Places(dict):
+    """Word -> its number; a new word gets the next one and waits in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordTokens:
-    """Ids of a word-end BPE tokenizer, by remembered runs between white space; other texts go to the library whole.
+    """Ids of a word-end BPE tokenizer, by remembered words; texts of other characters go to the library whole.
 
-    White space always ends a word, so a run's ids do not depend on its neighbours. Runs are found in the bytes of
-    many texts at once and known by 64-bit hashes; their ids lie in one pool, from which a text's ids are
-    gathered. New words go to the library's model as it writes bytes.
+    Texts of safe characters are split here as the library splits them. The ids of the words lie in one pool, from
+    which a text's ids are gathered; new words go to the library's model as it writes bytes.
     """
 
     def __init__(self, source: str):
@@ -66,11 +73,10 @@ class WordTokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}  # hash of a run -> its place in start and size
+        self.places = _Places()
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -78,64 +84,39 @@ class WordTokens:
     def pack(ids) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, hashes: list[int], new: list[str]) -> None:
-        """Remember the ids of runs: those of their words one after another."""
-        split = [_SPLIT.findall(run) for run in new]
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+    def _learn(self) -> None:
+        """Put the ids of the new words, which are numbered in turn, at the end of the pool."""
+        new, self.places.new = self.places.new, []
         tokenize = self.library.model.tokenize
-        for word in {w for words in split for w in words if w not in self.words}:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            self.words[word] = array("I", [t.id for t in tokenize(letters)]).tobytes()
-        get = self.words.__getitem__
-        found = [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in split]
-        sizes = np.array([len(f) // 4 for f in found], np.int64)
-        ids = np.frombuffer(b"".join(found), "<u4")
-        first, n = len(self.slot), len(new)
+        found = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))] for w in new]
+        n, first = len(new), len(self.places) - len(new)
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        total = int(sizes.sum())
         while first + n > len(self.start):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-        while self.used + len(ids) > len(self.pool):
+        while self.used + total > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + n] = sizes
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.slot.update(zip(hashes, range(first, first + n)))
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.used += total
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of safe characters."""
-        raw = [t.lower().encode() for t in texts]
-        data = b"\n".join(raw) + b"\n"
-        buffer = np.frombuffer(data, np.uint8)
-        solid = ~_BLANK[buffer]
-        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-        edge = np.append(0, edge) if solid[0] else edge
-        begin, end = edge[::2], edge[1::2]  # the closing line feed ends the last run
-        if not len(begin):
-            return [b""] * len(texts)
-        size = end - begin
-        chars = np.flatnonzero(solid)
-        first = np.cumsum(size) - size
-        place = np.arange(len(chars)) - np.repeat(first, size)
-        hashes = np.add.reduceat(_BYTE[buffer[chars]] * _PLACE[place & 255], first)
-        hashes ^= size.astype(np.uint64) << np.uint64(40)
-        known, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) > KEPT:
+        if len(self.places) > KEPT:
             self.forget()
-        keys = known.tolist()
-        slots = list(map(self.slot.get, keys))
-        if None in slots:
-            miss = [k for k, s in enumerate(slots) if s is None]
-            low, high = begin[sample[miss]].tolist(), end[sample[miss]].tolist()
-            self.learn([keys[k] for k in miss], [data[a:b].decode() for a, b in zip(low, high)])
-            slots = list(map(self.slot.get, keys))
-        slots = np.array(slots)[inverse]
-        sizes = self.size[slots]
+        words = [_SPLIT.findall(t.lower()) for t in texts]
+        counts = list(map(len, words))
+        n = sum(counts)
+        if not n:
+            return [b""] * len(texts)
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, n)
+        if self.places.new:
+            self._learn()
+        sizes = self.size[places]
         upto = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.start[slots] - upto + sizes, sizes) + np.arange(upto[-1])].tobytes()
-        text_end = np.cumsum([len(r) + 1 for r in raw])
-        runs = np.searchsorted(begin, text_end)
-        cuts = (4 * np.append(0, upto)[np.append(0, runs)]).tolist()
+        ids = self.pool[np.repeat(self.start[places] - upto + sizes, sizes) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * np.append(0, upto)[np.append(0, np.cumsum(counts))]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -229,8 +210,8 @@ def _pack_partitions(rows: DataFrame, parts: int, salt: int, capacity: int) -> D
         group = group.sort_by([("length", "descending"), ("uid", "ascending")])
         sizes = np.asarray(group["length"])
         where, offset, fill = best_fit_decreasing(sizes, capacity)
-        bound = np.full(len(sizes), lower_bound(sizes, capacity))
-        for name, values in (("bin", where), ("offset", offset), ("fill", fill[where]), ("bound", bound)):
+        bins, bound = np.full(len(sizes), len(fill)), np.full(len(sizes), lower_bound(sizes, capacity))
+        for name, values in (("bin", where), ("offset", offset), ("fill", fill[where]), ("bins", bins), ("bound", bound)):
             group = group.append_column(name, pa.array(values, pa.int64()))
         return group
 
@@ -239,29 +220,30 @@ def _pack_partitions(rows: DataFrame, parts: int, salt: int, capacity: int) -> D
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of pieces() with sequence_id, offset, and the certificate: part's bins and their lower bound.
+    """Rows of pieces() with sequence_id, offset, fill, and the certificate: round, part, its bins and their lower bound.
 
     A sequence's number joins round, partition and bin.
     """
-    spark = found.sparkSession
-    common.prepare(spark)
-    todo, done = found, None
+    common.prepare(found.sparkSession)
+    todo, done, before = found, None, None
     for step in range(rounds + 1):
         n = todo.count()
         if step and n == 0:
             break
         parts = max(1, -(-n // per_part))
         placed = common.stored(_pack_partitions(todo.select("uid", "doc_id", "piece", "start", "length", "ids_crc32"), parts, step, capacity), f"packing-{step}")
-        numbered = placed.withColumn("sequence_id", F.lit(step << 58) + F.col("part") * (1 << 24) + F.col("bin"))
-        full = F.col("fill") >= int(capacity * (1 - SLACK))
-        if step < rounds and parts > 1:
-            kept, todo = numbered.where(full), placed.where(~full)
-        else:
-            kept, todo = numbered, placed.limit(0)
-        kept = kept.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "bound", F.lit(step).alias("round"))
+        certified, full = F.col("bins") == F.col("bound"), F.col("fill") >= int(capacity * (1 - SLACK))
+        tally = placed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+        bins, gaps = tally.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if(~certified)).first()
+        last = step == rounds or gaps < 2 or (before is not None and bins >= before)
+        stays = F.lit(True) if last else certified | full
+        kept = placed.where(stays).withColumn("sequence_id", F.lit(step << 58) + F.col("part") * (1 << 24) + F.col("bin"))
+        kept = kept.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", F.lit(step).alias("round"), "part", "bins", "bound")
         done = kept if done is None else done.unionByName(kept)
-        if not (step < rounds and parts > 1):
+        if last:
             break
+        todo = placed.where(~stays)
+        before = todo.select("part", "bin").distinct().count()
     return done
 
 

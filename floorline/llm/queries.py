@@ -57,7 +57,7 @@ def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "part", "bins", "bound")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,44 @@ def test_exchange_keeps_all_pieces(spark):
     rows = packing.pack(df, per_part=700).collect()
     assert sorted(r.length for r in rows) == sorted(sizes.tolist()) and max(r.round for r in rows) > 0
     assert check_pack(rows) <= 1.01 * packing.lower_bound(sizes)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r.round, r.part].append(r)
+    last = max(r.round for r in rows)
+    moved = 0
+    for (step, _), found in groups.items():
+        bins, bound = found[0].bins, found[0].bound
+        fills = {r.sequence_id: r.fill for r in found}
+        assert all((r.bins, r.bound) == (bins, bound) for r in found) and bins >= bound
+        if bins == bound or step == last:  # a certified partition keeps every bin, and so does the last round
+            assert len(fills) == bins
+        else:  # one with a gap keeps full bins only
+            assert all(f >= int(4096 * (1 - packing.SLACK)) for f in fills.values())
+            moved += 1
+    assert moved >= 2 and any(f[0].bins == f[0].bound for f in groups.values())
+
+
+def test_exchange_ends(spark):
+    """Nothing to exchange where every partition is certified; no rounds without gain where none can be."""
+    same = spark.createDataFrame([(i, i, 0, 0, 1024, 7) for i in range(4000)], packing._PIECE)
+    rows = packing.pack(same, per_part=500).collect()
+    assert {r.round for r in rows} == {0} and check_pack(rows) <= 1000 + len({r.part for r in rows})
+    thirds = spark.createDataFrame([(i, i, 0, 0, [1500, 1400, 1300, 1250][i % 4], 7) for i in range(4000)], packing._PIECE)
+    rows = packing.pack(thirds, per_part=500, rounds=9).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(4000)) and check_pack(rows) >= packing.lower_bound(np.array([1500, 1400, 1300, 1250] * 1000))
+
+
+def test_word_ids_equal_the_library(spark):
+    """Words of more than 256 bytes that differ far apart, marks, figures, case that changes a word's length."""
+    rng = random.Random(14)
+    alphabet = list("aBz09'.,-!éÀßſİŸ \t\n") + ["'s", "'LL", "x" * 255, "</w>", "<|endoftext|>", "漢"]
+    texts = ["a" + "x" * 255 + "b", "b" + "x" * 255 + "a", "", None, "İstanbul's", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(500))]
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    library.no_padding()
+    got = packing.WordTokens(open(WORD, encoding="utf-8").read()).encode(texts)
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_packed_documents(spark):
