@@ -34,26 +34,34 @@ def corpus(n=400, seed=1):
     return rows, labels
 
 
-def test_nearest_is_exact():
+def brute_cosines(weights, other, query, example):
+    """Cosine of two texts' weighted TF-IDF vectors over all their terms, in dictionaries."""
+    vectors = []
+    for text in (query, example):
+        v = {t: (1 + math.log(n)) * weights.get(t, other) for t, n in toxicity.terms_of(text).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        vectors.append({t: w / norm for t, w in v.items()})
+    return sum(w * vectors[1][t] for t, w in vectors[0].items() if t in vectors[1] and t in weights)
+
+
+def test_nearest_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     rng = random.Random(3)
-    terms = [f"t{i}" for i in range(40)]
-    examples = [(i, i % 2, {t: rng.randint(1, 5) for t in rng.sample(terms, rng.randint(1, 6))}) for i in range(700)]
-    index = toxicity.BlockMaxIndex({t: rng.random() + 0.5 for t in terms}, examples)
-    by_id = {e[0]: index.vector(e[2]) for e in examples}
-    for _ in range(60):
-        q = index.vector({t: rng.randint(1, 4) for t in rng.sample(terms, rng.randint(1, 5))})
-        weights = dict(zip(*q))
-        sims = []
-        for row, doc in enumerate(index.ids):
-            other = dict(zip(*by_id[int(doc)]))
-            s = 0.0
-            for t, w in weights.items():
-                s += w * other.get(t, 0.0)
-            if s:
-                sims.append((-s, row))
-        want = sorted(sims)[:15]
-        rows, got = index.nearest(q)
-        assert len(rows) == len(want)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    zipf = [1 / (i + 1) for i in range(len(words))]
+    texts = [" ".join(rng.choices(words, zipf, k=rng.randint(1, 40))) for _ in range(500)] + ["q q q"] * 20
+    weights = {t: rng.choice([0.01, 0.02, 2.0]) for t in {t for x in texts for t in toxicity.terms_of(x)} if rng.random() < 0.8}
+    empty = toxicity.BlockMaxIndex(weights, 0.05, [])
+    index = toxicity.BlockMaxIndex(weights, 0.05, [(i, i % 2, *empty.counts(toxicity.terms_of(t))) for i, t in enumerate(texts)])
+    for _ in range(150):
+        query = " ".join(rng.choices(words + ["unseen"], [*zipf, 0.3], k=rng.randint(1, 50)))
+        vector = index.vector(toxicity.terms_of(query))
+        if vector is None:
+            continue
+        without = rng.choice([None, int(rng.choice(index.ids))])
+        sims = [(brute_cosines(weights, 0.05, query, texts[i]), row) for row, i in enumerate(index.ids.tolist()) if i != without]
+        want = sorted((-s, row) for s, row in sims if s > 0)[: toxicity.NEIGHBOURS]
+        rows, got = index.nearest(vector, without=without)
         assert np.allclose(got, [-s for s, _ in want])
         assert set(rows[got > got[-1] + 1e-9]) == {r for s, r in want if -s > got[-1] + 1e-9}
 
@@ -70,6 +78,46 @@ def test_toxicity_held_out(spark):
     assert got[None].predicted == 1 and got[None].held_out is False
     assert all(0 <= r.score <= 1 for r in got.values())
     assert got[9003].evidence_ids and len(got[9003].evidence_ids) == len(got[9003].evidence_cosines)
+    # clean documents have neighbours too
+    assert all(r.evidence_ids for r in got.values() if r.doc_id is not None and r.doc_id < 9000)
+
+
+def test_evidence_is_the_nearest_of_whole_texts(spark):
+    """The fitted model's cosines equal those of the labelled texts, recomputed with the weights from the label counts."""
+    rows, labels = corpus(200, 5)
+    d, l = docs(spark, [*rows, (3, rows[3][1])]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d, l).collect()}
+    text, toxic = dict(rows), {i: y for i, _, y in labels}
+    train = [i for i in text if zlib.crc32(str(i).encode()) % 5] + [3]
+    seen = {i: set(toxicity.terms_of(text[i])) for i in train}
+    n, bad = len(train), sum(toxic[i] for i in train)
+    weights = {}
+    for t in set().union(*seen.values()):
+        of = [i for i in train if t in seen[i]]
+        if len(of) > 1:
+            a, b = sum(toxic[i] for i in of), len(of)
+            phi = abs(a * n - b * bad) / math.sqrt(b * (n - b) * bad * (n - bad)) if b < n else 0.0
+            weights[t] = (math.log((1 + n) / (1 + b)) + 1) * (0.01 + max(0.0, phi - 4 / math.sqrt(n)))
+    other = (math.log(1 + n) + 1) * 0.01
+    for i in rng_ids(text):
+        want = sorted((-brute_cosines(weights, other, text[i], text[j]) for j in train))[: toxicity.NEIGHBOURS]
+        assert np.allclose(sorted(-c for c in got[i].evidence_cosines), want, atol=1e-9)
+
+
+def rng_ids(text):
+    return random.Random(6).sample(sorted(text), 40)
+
+
+def test_toxicity_recall_and_calibration(spark):
+    """On held-out documents: toxic ones found, clean ones left alone, scores near the share of toxic ones at that score."""
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score_toxicity(d.join(l.select("doc_id"), "doc_id", "left_semi"), l).where("held_out").join(l.select("doc_id", "toxic"), "doc_id").toArrow()
+    score, toxic = np.asarray(rows["score"]), np.asarray(rows["toxic"])
+    # one toxic label in seven there is of a text without a toxic word
+    assert (score >= 0.5)[toxic == 1].mean() >= 0.82 and (score >= 0.5)[toxic == 0].mean() <= 0.01
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum((bins == b).mean() * abs(score[bins == b].mean() - toxic[bins == b].mean()) for b in set(bins.tolist()))
+    assert error <= 0.03
 
 
 def test_toxicity_without_labels(spark):
