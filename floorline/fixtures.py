@@ -102,14 +102,13 @@ frame AS (
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript segments: base, side, utt, start_ms, end_ms, text; bounds lie 100 ms outside the speech."""
     s = spans(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("words"))
     n = docs.agg(F.count("*").alias("n"))
     grouped = s.groupBy("base", "side", F.col("segs")[0].alias("utt")).agg(
         (F.min("start_ms") - 100).alias("start_ms"), (F.max("end_ms") + 100).alias("end_ms"), F.min("event_id").alias("event_id")
     )
     keyed = grouped.join(F.broadcast(n)).withColumn("doc_id", F.col("event_id") % F.col("n"))
-    # every third segment is missing from the transcript, so some spans find no confirmation
-    return keyed.join(docs, "doc_id").where(F.col("event_id") % 3 != 0).select("base", "side", "utt", "start_ms", "end_ms", F.col("words").alias("text"))
+    return keyed.join(docs, "doc_id").select("base", "side", "utt", "start_ms", "end_ms", F.col("words").alias("text"))
 
 
 SEGMENTS_SQL = """
@@ -117,8 +116,8 @@ seg0 AS (
   SELECT base, side, seg AS utt, min(start_ms) - 100 AS start_ms, max(end_ms) + 100 AS end_ms, min(event_id) AS event_id
   FROM span GROUP BY base, side, seg
 ), segment AS (
-  SELECT base, side, utt, start_ms, end_ms, substr(text, 1, 200) AS text
-  FROM seg0 JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents) WHERE event_id % 3 <> 0
+  SELECT base, side, utt, start_ms, end_ms, text
+  FROM seg0 JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)
 )"""
 
 

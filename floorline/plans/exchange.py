@@ -90,14 +90,14 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "acoustic_features",
     """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
-    z AS (SELECT *, list_transform(range(1, len(v)), lambda i: CASE WHEN (v[i] < 0) <> (v[i + 1] < 0) THEN 1 ELSE 0 END) AS turns FROM x)
-    SELECT vec_id, round(sqrt(list_inner_product(v, v) / len(v)), 6) AS rms_all, round(sqrt(list_inner_product(v[-8:], v[-8:]) / 8), 6) AS rms_last_short,
-    round(sqrt(list_inner_product(v[-16:], v[-16:]) / 16), 6) AS rms_last_long, round(sqrt(list_inner_product(v[-32:-17], v[-32:-17]) / 16), 6) AS rms_before,
+    z AS (SELECT *, list_transform(range(1, len(v)), lambda i: CASE WHEN sign(v[i]) <> sign(v[i + 1]) THEN 1 ELSE 0 END) AS turns FROM x)
+    SELECT vec_id, len(v) / 64.0::DOUBLE AS dur, round(sqrt(list_inner_product(v, v) / len(v)), 6) AS rms_all, round(sqrt(list_inner_product(v[-8:], v[-8:]) / 8), 6) AS rms_last_short,
+    round(sqrt(list_inner_product(v[-16:], v[-16:]) / 16), 6) AS rms_last_long, round(sqrt(list_inner_product(v[-24:-9], v[-24:-9]) / 16), 6) AS rms_before,
     list_max(list_transform(v, lambda y: abs(y))) AS peak, CAST(list_sum(turns) AS DOUBLE) / (len(v) - 1) AS zcr FROM z""",
 )
 def acoustic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-domain features of vectors taken as sound."""
-    found = audio.time_features(F.col("embedding"), 8, 16)
+    found = audio.time_features(F.col("embedding"), 8, 16, 64)
     rounded = [F.round(c, 6).alias(n) if n.startswith("rms") else c.alias(n) for n, c in found.items()]
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", *rounded)
 

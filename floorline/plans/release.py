@@ -119,10 +119,10 @@ def not_yet_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "threshold_classes",
-    "SELECT vec_id, CAST(CAST(embedding[1] AS DOUBLE) * 0.5 + 0.5 > 0.5 AS INTEGER) AS pred FROM embeddings WHERE vec_id % 4 = 0",
+    "SELECT vec_id, CAST(CAST(embedding[1] AS DOUBLE) * 0.5 + 0.5 > 0.5 AS INTEGER) AS pred FROM embeddings",
 )
 def threshold_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).where("dispute").select("vec_id", (F.col("p") > 0.5).cast("int").alias("pred"))
+    return scores(spark, sf_dir).select("vec_id", (F.col("p") > 0.5).cast("int").alias("pred"))
 
 
 @register("spurt_totals", fx.with_tables(fx.SPANS_SQL, SPURT_SQL) + " SELECT base, side, count(DISTINCT spurt) AS spurts, max(ahead_ms) AS longest_ms FROM sp GROUP BY 1, 2")

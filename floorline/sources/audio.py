@@ -16,6 +16,8 @@ SPECTRAL = T.StructType([T.StructField(n, T.DoubleType()) for n in ("tilt", "p90
 
 RATE = 16_000
 CLIP_SAMPLES, FRAME, HOP, MELS = 8 * RATE, 400, 160, 80
+#: Samples of a frame whose energy is taken, and the least energy of a voiced frame.
+ENERGY_FRAME, SILENCE = 512, 1e-4
 
 
 def _open(content: bytes) -> tuple[np.ndarray, int]:
@@ -58,13 +60,13 @@ def window(samples: Column, start: Column, end: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def wav_bytes(samples: pd.Series) -> pd.Series:
-    """16 kHz mono PCM of samples clipped to [-1, 1]."""
+    """16 kHz mono PCM of samples clipped to [-1, 1] and rounded to the nearest step."""
 
     def write(x) -> bytes:
         out = io.BytesIO()
         with wave.open(out, "wb") as w:
             w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
-            w.writeframes((np.clip(np.asarray(x, np.float32), -1, 1) * 32767).astype("<i2").tobytes())
+            w.writeframes(np.rint(np.clip(np.asarray(x, np.float32), -1, 1) * 32767).astype("<i2").tobytes())
         return out.getvalue()
 
     return pd.Series([write(x) for x in samples])
@@ -82,18 +84,20 @@ def rms(samples: Column) -> Column:
 
 
 def zero_crossings(samples: Column) -> Column:
-    """Share of neighbouring samples of different sign (zero counts as positive)."""
-    sign = F.transform(samples, lambda x: (x < 0).cast("int"))
-    turns = F.aggregate(F.zip_with(F.slice(sign, 1, F.greatest(F.size(sign) - 1, F.lit(0))), F.slice(sign, 2, F.greatest(F.size(sign) - 1, F.lit(0))), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(samples) > 1, turns / (F.size(samples) - 1)).otherwise(0.0)
+    """Share of neighbouring samples of different sign; zero is a sign of its own."""
+    sign = F.transform(samples, lambda x: F.signum(x))
+    pairs = F.zip_with(F.slice(sign, 1, F.greatest(F.size(sign) - 1, F.lit(0))), F.slice(sign, 2, F.greatest(F.size(sign) - 1, F.lit(0))), lambda a, b: F.when(a != b, 1).otherwise(0))
+    return F.when(F.size(samples) > 1, F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / (F.size(samples) - 1)).otherwise(0.0)
 
 
-def time_features(samples: Column, short: int, long: int) -> dict[str, Column]:
-    """Loudness of all, the last `short`, the last `long` samples and those of `long` before them; peak; crossings."""
+def time_features(samples: Column, short: int = RATE // 5, long: int = RATE // 2, rate: int = RATE) -> dict[str, Column]:
+    """Seconds; loudness of all, the last `short`, the last `long` samples and the `long` before the last `short`; peak; crossings."""
     n = F.size(samples)
     last = lambda k: F.slice(samples, F.greatest(F.lit(1), n - k + 1), F.lit(k))
-    before = F.slice(samples, F.greatest(F.lit(1), n - 2 * long + 1), F.greatest(F.lit(0), F.least(F.lit(long), n - long)))
+    start = F.greatest(F.lit(0), n - short - long)
+    before = F.slice(samples, start + 1, F.greatest(F.lit(0), n - short - start))
     return {
+        "dur": n / F.lit(float(rate)),
         "rms_all": rms(samples),
         "rms_last_short": rms(last(short)),
         "rms_last_long": rms(last(long)),
@@ -103,18 +107,19 @@ def time_features(samples: Column, short: int, long: int) -> dict[str, Column]:
     }
 
 
-def spectral_features(x: np.ndarray) -> tuple[float, float, float]:
-    """Spectral tilt (log power under over above 1 kHz), the ratio of 90th to 50th percentile frame energy, voiced share of frames."""
+def spectral_features(x: np.ndarray, frame: int = ENERGY_FRAME) -> tuple[float, float, float]:
+    """Of the last second: logs of the upper over the lower half of a windowed magnitude spectrum. Of whole frames: the
+    90th over the 50th percentile of energy, and the share of frames over a tenth of the 90th and over SILENCE."""
     x = np.asarray(x, np.float64)
     if not len(x):
         return 0.0, 0.0, 0.0
-    power = np.abs(np.fft.rfft(x)) ** 2
-    freq = np.fft.rfftfreq(len(x), 1 / RATE)
-    tilt = float(np.log1p(power[freq < 1000].sum()) - np.log1p(power[freq >= 1000].sum()))
-    frames = x[: len(x) // FRAME * FRAME].reshape(-1, FRAME) if len(x) >= FRAME else x[None]
-    energy = np.sqrt((frames**2).mean(axis=1))
-    p50, p90 = np.percentile(energy, [50, 90])
-    return tilt, float(p90 / (p50 + 1e-9)), float((energy > 0.1 * (energy.max() + 1e-12)).mean())
+    end = x[-RATE:]
+    magnitude = np.abs(np.fft.rfft(end * np.hanning(len(end))))
+    low, high = np.split(magnitude, [len(magnitude) // 2])
+    whole = len(x) // frame
+    energy = np.sqrt(np.mean(x[: whole * frame].reshape(whole, frame) ** 2, axis=1)) if whole else np.zeros(1)
+    middle, loud = np.percentile(energy, [50, 90])
+    return float(np.log1p(high.sum()) - np.log1p(low.sum())), float(loud / (middle + 1e-9)), float(np.mean(energy > max(loud * 0.1, SILENCE)))
 
 
 @F.pandas_udf(SPECTRAL)
@@ -132,15 +137,20 @@ def mel_filters(bins: int = FRAME // 2 + 1, mels: int = MELS) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)) * (2 / (high - low))
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """(MELS, frames) of the last eight seconds: zero padding on the right, mean and variance normalised, clamped logs."""
-    x = np.asarray(x, np.float32)[-CLIP_SAMPLES:]
-    x = np.pad(x, (0, CLIP_SAMPLES - len(x)))
-    x = (x - x.mean()) / np.sqrt(x.var() + 1e-7)
-    x = np.pad(x, FRAME // 2, mode="reflect")
-    at = np.arange(0, len(x) - FRAME, HOP)[:, None] + np.arange(FRAME)
-    power = np.abs(np.fft.rfft(x[at] * np.hanning(FRAME + 1)[:-1], axis=1)) ** 2
-    logs = np.log10(np.maximum(mel_filters() @ power.T, 1e-10))
+def log_mel(x: np.ndarray, filters: np.ndarray | None = None) -> np.ndarray:
+    """(mels, frames) of the last eight seconds: mean and variance normalised, zero padding on the right, clamped logs.
+
+    Only the real samples are normalised; padding stays zero. filters (mels x frequencies) are those a model was
+    trained with; mel_filters() stands in where none are given.
+    """
+    x = np.asarray(x, np.float64)[-CLIP_SAMPLES:]
+    clip = np.zeros(CLIP_SAMPLES)
+    if len(x):
+        clip[: len(x)] = (x - x.mean()) / np.sqrt(x.var() + 1e-7)
+    clip = np.pad(clip, FRAME // 2, mode="reflect")
+    at = np.arange(0, CLIP_SAMPLES, HOP)[:, None] + np.arange(FRAME)  # the frame that starts at the very end is left out
+    power = np.abs(np.fft.rfft(clip[at] * np.hanning(FRAME + 1)[:-1], axis=1)) ** 2
+    logs = np.log10(np.maximum((mel_filters() if filters is None else filters) @ power.T, 1e-10))
     return ((np.maximum(logs, logs.max() - 8) + 4) / 4).astype(np.float32)
 
 
