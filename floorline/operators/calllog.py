@@ -149,13 +149,13 @@ def probability_bands(log: DataFrame) -> DataFrame:
 
 
 def transcript(log: DataFrame, most: int = 40, width: int = 90) -> DataFrame:
-    """The first rows of each call's transcript with the latest prediction made by then; bars and long texts are cut."""
+    """The first rows of each call's transcript, the user's with the latest prediction made by then; bars and long texts are cut."""
     guess = of(log, "prediction").select("call", "t_ms", F.struct("seq", "probability").alias("prediction"))
     rows = of(log, "transcript").select("call", "t_ms", "seq", "role", "text")
     said = asof(rows, guess, ["call"], "t_ms", "t_ms", "prediction")
     place = F.row_number().over(Window.partitionBy("call").orderBy("t_ms", "seq"))
     clean = F.substring(F.trim(F.translate(F.coalesce("text", F.lit("")), "|", "/")), 1, width)
-    return said.withColumn("place", place).where(F.col("place") <= most).select("call", "place", "t_ms", "role", clean.alias("text"), F.col("prediction.probability").alias("probability"))
+    return said.withColumn("place", place).where(F.col("place") <= most).select("call", "place", "t_ms", "role", clean.alias("text"), F.when(F.col("role") == "user", F.col("prediction.probability")).alias("probability"))
 
 
 def compare(log: DataFrame) -> DataFrame:
@@ -185,6 +185,20 @@ def warnings(compared: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("warning"), F.col(n).alias("raised")) for n in names])).alias("w")).select("w.*")
 
 
+#: What a session row keeps of a framework's debug record (fixed values).
+SESSION_FIELDS = ("probability", "unlikely_threshold", "endpointing_delay", "language", "trigger", "from_cache")
+SESSION_MESSAGE = "eot prediction"
+
+
+def session_rows(records: DataFrame, start_ms: Column) -> DataFrame:
+    """call, kind, t_ms and the listed fields of the debug records (call, message, created_ms, extra map) that predict a turn's end.
+
+    A field that a record lacks is null.
+    """
+    kept = records.where(F.col("message") == SESSION_MESSAGE)
+    return kept.select("call", F.lit("session").alias("kind"), (F.col("created_ms") - start_ms).alias("t_ms"), *[F.get(F.array(F.col("extra")[f]), F.lit(0)).alias(f) for f in SESSION_FIELDS])
+
+
 def final_only(rows: DataFrame, is_final: Column) -> DataFrame:
     return rows.where(F.coalesce(is_final, F.lit(False)))
 

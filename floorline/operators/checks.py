@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from floorline.functions.exprs import other_side
+from floorline.functions.exprs import other_side, sample_id
 from floorline.operators.intervals import overlap_join
 from floorline.operators.turns import BACKCHANNEL_K, BACKCHANNEL_MS, CLEAN_MS, CLEAN_RATE_100, CROSSTALK_MS, LAPSE_MS
 
@@ -112,6 +112,31 @@ def turn_votes(turns: DataFrame, pauses: DataFrame, spans: DataFrame) -> DataFra
     )
 
 
+def table_votes(labelled: DataFrame, splits: DataFrame, recorded: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """Votes on a turn table with splits and labels: rows agree with their call's split, recording and label, all calls are there.
+
+    splits: base, split; recorded: base, side, wav_ms; wanted: calls that each split must have.
+    """
+    c = F.col
+    rows = labelled.join(F.broadcast(splits.select("base", F.col("split").alias("call_split"))), "base", "left")
+    rows = rows.join(F.broadcast(recorded.select("base", "side", "wav_ms")), ["base", "side"], "left")
+    own = sample_id(c("base"), c("side"), c("end_ms"))
+    out = votes(
+        rows,
+        c("id"),
+        {
+            "split is the call's": F.coalesce(c("split") == c("call_split"), F.lit(False)),
+            "audio window inside the recording": F.coalesce((c("start_ms") >= 0) & (c("end_ms") + c("trail_ms") <= c("wav_ms")), F.lit(False)),
+            "label belongs to this end": F.when(c("label").isNotNull(), F.coalesce(c("sid") == own, F.lit(False))),
+        },
+    )
+    calls = splits.select("base").distinct().join(labelled.select("base", F.lit(True).alias("there")).distinct(), "base", "left")
+    out = out.unionByName(votes(calls, c("base"), {"call present": c("there").isNotNull()}))
+    counts = labelled.groupBy("split").agg(F.count_distinct("base").alias("calls"))
+    want = labelled.sparkSession.createDataFrame(sorted(wanted.items()), "split string, wanted long")
+    return out.unionByName(votes(want.join(counts, "split", "left"), c("split"), {"calls of the split": F.coalesce(c("calls"), F.lit(0)) == c("wanted")}))
+
+
 def require(rows: DataFrame, rule: Column, message: str) -> DataFrame:
     """rows, which fail the job where the rule does not hold."""
     return rows.where(F.when(F.coalesce(rule, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

@@ -81,6 +81,13 @@ def is_held_back(source: Column) -> Column:
     return source.isin(*HELD_BACK)
 
 
+def class_counts(samples: DataFrame, *by: str) -> DataFrame:
+    """Per class (and split): rows, calls that contribute, and whether the class is of the core set or held back."""
+    counts = samples.groupBy("source", *by).agg(F.count("*").alias("n"), F.count_distinct("base").alias("calls"), F.count_if(F.col("label_rule") == 1).alias("positive"))
+    kind = F.when(is_core(F.col("source")), "core").when(is_held_back(F.col("source")), "held back")
+    return counts.withColumn("kind", kind)
+
+
 def samples(judged_rows: DataFrame, harvest: str = "core") -> DataFrame:
     """Kept boundaries as labelled samples with the geometry of their clips."""
     kept = judged_rows.where(F.col("outcome").isin(*CORE, *HELD_BACK))

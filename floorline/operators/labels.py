@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from floorline.functions.exprs import mcnemar, ratio, wilson
+from floorline.functions.exprs import mcnemar, ratio, sample_id, wilson
 
 VERDICTS = ("complete", "incomplete")
 _VERDICT = "verdict string, confidence double, reason string"
@@ -155,6 +155,71 @@ def policy_effect(k: Column, n: Column, n_test: Column) -> Column:
     return F.when(n_test > 0, 100.0 * (2 * k - n) / n_test).otherwise(0.0)
 
 
+def human_labels(sheet: DataFrame, answers: DataFrame) -> DataFrame:
+    """sid, human (1 complete, 0 incomplete) of the answered clips whose sheet row has a usable verdict.
+
+    sheet: idx, verdict; answers: idx, call, side, t in seconds.
+    """
+    usable = sheet.select("idx", verdict_text(F.col("verdict")).alias("verdict")).where(F.col("verdict").isin(*VERDICTS))
+    return sheet_index(answers).join(usable, "idx").select("sid", (F.col("verdict") == "complete").cast("int").alias("human"))
+
+
+def sheet_index(answers: DataFrame) -> DataFrame:
+    """sid, idx: the number of a clip on the sheet, by its sample id."""
+    t_ms = F.bround(F.col("t") * 1000).cast("long")
+    return answers.select(sample_id(F.col("call"), F.col("side"), t_ms).alias("sid"), "idx")
+
+
+def ready(rows: DataFrame, split: str | None = None) -> DataFrame:
+    """Rows with a usable verdict, of one split or all, in the order of sid."""
+    kept = rows.where("llm_ok") if split is None else rows.where("llm_ok").where(F.col("split") == split)
+    return kept.orderBy("sid")
+
+
+def training_rows(samples: DataFrame, language: str, dataset: str) -> DataFrame:
+    """Samples in the names that training reads; a missing harvest is the core one, a missing confidence zero."""
+    c = F.col
+    harvest = F.coalesce(c("harvest"), F.lit("core")) if "harvest" in samples.columns else F.lit("core")
+    return samples.select(
+        "sid", "split", c("label").alias("endpoint_bool"), F.lit(language).alias("language"), F.lit(dataset).alias("dataset"), "label_pipeline", "llm_verdict", "dispute",
+        F.coalesce(c("llm_conf"), F.lit(0.0)).alias("llm_conf"), "source", c("base").alias("call"), "gap_ms", "prev_ms", harvest.alias("harvest"),
+    )
+
+
+def job_tag(model: Column, source: Column, split: Column, rows_tag: str = "") -> Column:
+    """Name of a batch job: the model alone for the check set, else model@source-split and the tag of its row file."""
+    named = F.concat(model, F.lit("@"), source, F.when(split != "", F.concat(F.lit("-"), split)).otherwise(""), F.lit(rows_tag))
+    return F.when(source == "qa", model).otherwise(named)
+
+
+def owned(tag: Column, rows_tag: str = "") -> Column:
+    """Whether a job belongs to a row file: by its suffix, or by having none."""
+    return tag.endswith(rows_tag) if rows_tag else ~tag.contains("+")
+
+
+def review_rows(verdicts: DataFrame, samples: DataFrame, numbers: DataFrame) -> DataFrame:
+    """One model's verdicts (sid, verdict, confidence, reason, human) beside what a reviewer needs, in text columns.
+
+    `agree` is yes or NO, empty where either side has no verdict; see review_order.
+    """
+    c = F.col
+    said = F.when(c("verdict") == "complete", 1).when(c("verdict") == "incomplete", 0)
+    word = lambda y: F.when(y == 1, "complete").when(y == 0, "incomplete").otherwise("")
+    idx = F.coalesce("idx", F.lit(0))
+    rows = verdicts.join(samples.select("sid", "label", "source", "gap_ms", "text"), "sid").join(numbers, "sid", "left")
+    return rows.select(
+        idx.alias("idx"), F.format_string("%03d.wav", idx).alias("clip"), c("verdict").alias("model"), F.format_string("%.2f", c("confidence")).alias("conf"), word(c("human")).alias("you"),
+        F.when(said.isNull() | c("human").isNull(), "").when(said == c("human"), "yes").otherwise("NO").alias("agree"), F.lit("").alias("your_call"),
+        F.when(c("label") == 1, "complete").otherwise("incomplete").alias("pipeline"), "source", F.format_string("%.3f", c("gap_ms") / 1000).alias("gap_s"), "reason",
+        F.trim(F.regexp_replace(F.coalesce(c("text"), F.lit("")), r"\s+", " ")).alias("text"), "sid",
+    )
+
+
+def review_order() -> list[Column]:
+    """Disagreements first, then by number."""
+    return [F.col("agree") != "NO", F.col("idx")]
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

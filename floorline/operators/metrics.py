@@ -106,6 +106,13 @@ def smd(rows: DataFrame, y: str, features: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), pooled(f).alias("smd")) for f in features])).alias("r")).select("r.*")
 
 
+def capacity_gap(rows: DataFrame, y: str, p: str, split: str, threshold: float = 0.5) -> DataFrame:
+    """train_acc, dev_acc, gap: how much better a model does on what it was fitted on."""
+    right = (F.col(p) > threshold).cast("int") == F.col(y)
+    of = lambda s: ratio(F.count_if((F.col(split) == s) & right), F.count_if(F.col(split) == s))
+    return rows.agg(of("train").alias("train_acc"), of("dev").alias("dev_acc")).withColumn("gap", F.col("train_acc") - F.col("dev_acc"))
+
+
 def leakage(rows: DataFrame, group: str, split: str, key: str) -> DataFrame:
     """Groups in more than one split, and how many rows repeat a key."""
     groups = rows.groupBy(group).agg(F.count_distinct(split).alias("s")).agg(F.count("*").alias("groups"), F.count_if(F.col("s") > 1).alias("leaking"))

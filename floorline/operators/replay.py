@@ -9,6 +9,8 @@ from floorline.operators import ranking
 from floorline.operators.asof import asof
 
 EARLY_MS = 50
+#: Legs of a call whose lengths differ by more are mismatched; a detector's buffer; a buffer under this is short.
+MISMATCH_MS, BUFFER_MS, SHORT_MS = 50, 8000, 7900
 
 
 def first_close(boundaries: DataFrame, closes: DataFrame) -> DataFrame:
@@ -56,6 +58,28 @@ def manifest(segments: DataFrame, durations: DataFrame) -> DataFrame:
     return rows.withColumn("balance", F.when(high > 0, low / high).otherwise(0.0))
 
 
+def balance(calls: DataFrame) -> DataFrame:
+    """One row about a manifest: recorded and spoken hours, segments, mismatched calls, balance of the legs."""
+    n = F.col("n")
+    ranks = ranking.at_ranks(calls, [], "balance", {"balance_p10": F.floor(n / 10), "balance_p50": F.floor(n / 2)}).drop("n")
+    total = calls.agg(
+        F.count("*").alias("calls"),
+        F.sum("wav_ms").alias("wav_ms"),
+        F.sum(F.col("left_ms") + F.col("right_ms")).alias("speech_ms"),
+        F.sum(F.col("left_segments") + F.col("right_segments")).alias("segments"),
+        F.count_if(F.col("mismatch_ms") > MISMATCH_MS).alias("mismatched"),
+    )
+    return total.crossJoin(F.broadcast(ranks))  # a row each
+
+
+def buffered(asked: DataFrame, cleared: DataFrame, most_ms: int = BUFFER_MS) -> DataFrame:
+    """asked (leg, asked_ms) with `fill_ms`: the sound in a rolling buffer that every turn boundary (leg, t_ms) clears."""
+    known = cleared.select("leg", F.col("t_ms").alias("clear_ms"), F.struct(F.col("t_ms").alias("at")).alias("clear"))
+    found = asof(asked.where("asked_ms is not null"), known, ["leg"], "asked_ms", "clear_ms", "clear")
+    since = F.col("asked_ms") - F.coalesce(F.col("clear.at"), F.lit(0))
+    return found.withColumn("fill_ms", F.least(F.lit(most_ms).cast("long"), since)).drop("clear")
+
+
 def probe(rows: DataFrame, y: str, features: list[str], test: Column, seed: int = 0) -> DataFrame:
     """n_pos, n_neg, auc of a logistic regression on standardised features, fitted outside `test`, and a verdict on shortcuts."""
     from pyspark.ml.classification import LogisticRegression

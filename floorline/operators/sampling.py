@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from floorline.operators.ranking import ordinal
+from floorline.sources.scratch import stored
 
 BLOCK, TEST_OF_BLOCK, DEV_PLACE = 8, 2, 2
 
@@ -70,9 +71,19 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def pack_ordinals(rows: DataFrame, split: str, key: str, stride: int) -> DataFrame:
-    """rows with `ordinal` and `offset` in their split's packed stream of fixed-stride records, in order of key."""
-    w = Window.partitionBy(split).orderBy(key)
-    return rows.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long")).withColumn("offset", F.col("ordinal") * stride)
+    """rows with `ordinal` and `offset` in their split's packed stream of fixed-stride records, in order of key.
+
+    Rows are dealt by ranges of split and key; counts per range (a row each) give the offsets, so no split meets in
+    one task.
+    """
+    ranged = stored(rows.repartitionByRange(split, key).withColumn("__part", F.spark_partition_id()), "pack-ordinals")
+    earlier = Window.partitionBy(split).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(split, "__part").agg(F.count("*").alias("__n"))
+    parts = parts.select(F.col(split).alias("__split"), "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(split, "__part").orderBy(key)) - 1
+    numbered = ranged.withColumn("__in", inside).join(F.broadcast(parts.withColumnRenamed("__part", "__p")), (F.col("__part") == F.col("__p")) & F.col(split).eqNullSafe(F.col("__split")))
+    ordinal_ = (F.col("__before") + F.col("__in")).cast("long")
+    return numbered.withColumn("ordinal", ordinal_).withColumn("offset", ordinal_ * stride).select(*rows.columns, "ordinal", "offset")
 
 
 def splice(base: DataFrame, harvest: DataFrame, frozen: DataFrame, key: str, group: str) -> DataFrame:

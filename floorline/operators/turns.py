@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from floorline.operators.labels import last_wins
 from floorline.functions.exprs import half_even, other_side, words_in
 from floorline.operators.asof import asof, lengths_until
 
@@ -114,8 +115,28 @@ CLEAN_GATES = {
 }
 
 
-def turns(spans: DataFrame) -> DataFrame:
-    """One row per turn: bounds, text, words, pauses, gap to the next turn, edges, crosstalk, trail, absorbed, clean."""
+#: Fields that a turn takes from the label of its end (fixed values).
+LABEL_FIELDS = ("sid", "label", "label_pipeline", "llm_verdict", "llm_conf", "dispute", "source", "harvest")
+
+
+def labelled(turns_: DataFrame, gold: DataFrame, splits: DataFrame) -> DataFrame:
+    """Turns with their call's split and the fields of the usable label at their end, null without one.
+
+    gold: base, side, t_ms, llm_ok, LABEL_FIELDS; of labels of one end the one of greatest sid counts. splits: base,
+    split, a row per call; a call without a split fails the job.
+    """
+    usable = gold.where("llm_ok").select("base", "side", F.col("t_ms").alias("end_ms"), *LABEL_FIELDS)
+    known = last_wins(usable, ["base", "side", "end_ms"], ["sid"])
+    rows = turns_.join(known, ["base", "side", "end_ms"], "left").join(F.broadcast(splits.select("base", "split")), "base", "left")
+    missing = F.raise_error(F.concat(F.lit("no split for call "), F.col("base"))).cast("string")
+    return rows.withColumn("split", F.coalesce(F.col("split"), missing)).select(*turns_.columns, *LABEL_FIELDS, "split")
+
+
+def turns(spans: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """One row per turn: bounds, text, words, pauses, gap to the next turn, edges, crosstalk, trail, absorbed, clean.
+
+    recorded (base, side, wav_ms) also ends a turn's trail where the recording ends.
+    """
     leg = Window.partitionBy("base", "side").orderBy("start_ms", "end_ms")
     shared = lambda neighbour: F.coalesce(F.arrays_overlap("segs", neighbour), F.lit(False))
     edged = spans.withColumn("fresh", ~shared(F.lag("segs").over(leg))).withColumn("final", ~shared(F.lead("segs").over(leg)))
@@ -169,6 +190,10 @@ def turns(spans: DataFrame) -> DataFrame:
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
     rows = rows.withColumn("silence", F.coalesce("silence", F.lit("")))
     rows = rows.withColumn("id", F.format_string("%s_%s_%04d", "base", F.substring("side", 1, 1), "turn_index"))
+    if recorded is not None:
+        rows = rows.join(F.broadcast(recorded.select("base", "side", "wav_ms")), ["base", "side"], "left")
+        left = F.greatest(F.lit(0).cast("long"), F.col("wav_ms") - F.col("end_ms"))
+        rows = rows.withColumn("trail_ms", F.least("trail_ms", left)).drop("wav_ms")
     return rows.withColumn("clean", is_clean())
 
 

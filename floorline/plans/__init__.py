@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import calls, evaluation, exchange, release, timeline  # noqa: F401
+from . import calls, evaluation, exchange, release, tables, timeline  # noqa: F401

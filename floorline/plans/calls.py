@@ -181,7 +181,7 @@ def probability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     "transcript_rows",
     fx.with_tables(*_L)
     + """ SELECT call, CAST(place AS INTEGER) AS place, t_ms, role, 'a/b ' || k AS text,
-    (SELECT arg_max(p.probability, p.t_ms * 10000000 + p.seq) FROM log p WHERE p.kind = 'prediction' AND p.call = r.call AND p.t_ms <= r.t_ms) AS probability
+    CASE WHEN role = 'user' THEN (SELECT arg_max(p.probability, p.t_ms * 10000000 + p.seq) FROM log p WHERE p.kind = 'prediction' AND p.call = r.call AND p.t_ms <= r.t_ms) END AS probability
     FROM (SELECT *, row_number() OVER (PARTITION BY call ORDER BY t_ms, seq) AS place FROM log WHERE kind = 'transcript') r WHERE place <= 40""",
 )
 def transcript_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,25 @@ def tail_peak(samples: Column, n: int) -> Column:
     return F.coalesce(F.array_max(F.transform(last, F.abs)), F.lit(0.0))
 
 
+def cut(samples: Column, start_ms: Column, end_ms: Column, tail_ms: int = 200) -> Column:
+    """A clip of a recording with its length and its tail's peak; it is padded where the window leaves the recording."""
+    at = lambda ms: F.bround(ms * RATE / 1000).cast("int")
+    clip = window(samples, at(start_ms), at(end_ms))
+    return F.struct(clip.alias("clip"), (F.size(clip) / float(RATE)).alias("seconds"), tail_peak(clip, RATE * tail_ms // 1000).alias("tail_peak"))
+
+
+def tail_ratio(body: Column, tail: Column) -> Column:
+    """The tail's peak over the body's; null where either has no samples or the body is silent."""
+    peak = lambda x: F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+    return F.when(peak(body) > 0, peak(tail) / peak(body))
+
+
+def frames(samples: Column, size: int = RATE // 50) -> Column:
+    """The samples in whole frames of 20 ms, in order; what is left over is dropped."""
+    whole = (F.size(samples) / size).cast("int")
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.slice(samples, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<float>>"))
+
+
 def rms(samples: Column) -> Column:
     total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return F.when(F.size(samples) > 0, F.sqrt(total / F.size(samples))).otherwise(0.0)

@@ -73,6 +73,11 @@ def read_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of a packed stream: split, key, ordinal, offset of its records."""
+    return spark.read.schema("split string, sid string, ordinal long, offset long").json(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Call-log rows of JSON lines; the file is the call."""
     from floorline.operators.calllog import SCHEMA

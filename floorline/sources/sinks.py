@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from floorline.sources.scratch import stored
 
 TEXT_COLUMNS = ("text", "next_text", "llm_reason")
 
@@ -61,7 +63,8 @@ def write_split_parquet(rows: DataFrame, path: str, split: str = "split", most_r
 def shards(rows: DataFrame, split: str, key: str, size: Column, most_bytes: int) -> DataFrame:
     """split, key, shard, n_shards: rows in key order roll to a new shard when one would pass most_bytes.
 
-    The rollover depends on every row before, so a split's sizes (not its payload) go through one task.
+    The rollover depends on every row before, so a split's sizes (not its payload) go through one task; shards_by_sum
+    has no such task.
     """
 
     def roll(part: pd.DataFrame) -> pd.DataFrame:
@@ -80,6 +83,25 @@ def shards(rows: DataFrame, split: str, key: str, size: Column, most_bytes: int)
     return rolled.withColumnRenamed("__split", split).withColumnRenamed("__key", key)
 
 
+def shards_by_sum(rows: DataFrame, split: str, key: str, size: Column, most_bytes: int) -> DataFrame:
+    """split, key, shard, n_shards: a row goes to the shard in which its first byte falls when rows are laid end to end.
+
+    Shards differ from most_bytes by less than a row. Sums run over ranges of keys, so no split meets in one task.
+    """
+    light = rows.select(F.col(split).alias("__split"), F.col(key).alias("__key"), size.cast("long").alias("__size"))
+    ranged = light.repartitionByRange("__split", "__key").withColumn("__part", F.spark_partition_id())
+    ranged = stored(ranged, "shard-sizes")
+    parts = ranged.groupBy("__split", "__part").agg(F.sum("__size").alias("__sum"))
+    before = Window.partitionBy("__split").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).withColumn("__all", F.sum("__sum").over(Window.partitionBy("__split")))
+    inside = Window.partitionBy("__split", "__part").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("__size").over(inside), F.lit(0))
+    found = ranged.withColumn("__at", at).join(F.broadcast(parts), ["__split", "__part"])
+    shard = F.floor((F.col("__before") + F.col("__at")) / most_bytes).cast("int")
+    count = F.greatest(F.lit(1), F.ceil(F.col("__all") / most_bytes)).cast("int")
+    return found.select(F.col("__split").alias(split), F.col("__key").alias(key), F.least(shard, count - 1).alias("shard"), count.alias("n_shards"))
+
+
 def shard_name(split: Column, shard: Column, n_shards: Column) -> Column:
     return F.format_string("%s-%05d-of-%05d", split, shard, n_shards)
 
@@ -93,9 +115,31 @@ def requests(rows: DataFrame, prompt: str, uri: Column) -> DataFrame:
     return rows.select(F.to_json(F.struct(body.alias("request"))).alias("value"))
 
 
+def sheet_lines(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """value: the lines of a CSV sheet, all fields quoted, behind a byte-order mark and a header, in the given order."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(F.col(c)) for c in rows.columns])
+    places = [f"__{i}" for i in range(len(order))]
+    body = rows.select(F.lit(1).alias("__head"), *[o.alias(n) for o, n in zip(order, places)], line.alias("value"))
+    head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("__head"), *[F.lit(None).cast(body.schema[n].dataType).alias(n) for n in places], F.lit(head).alias("value"))
+    return body.unionByName(first).orderBy("__head", *places).select("value")
+
+
 def review_sheet(rows: DataFrame, path: str, order: list[Column]) -> None:
-    """A quoted CSV in the given order, in one file."""
-    rows.orderBy(*order).coalesce(1).write.csv(path, header=True, quoteAll=True)
+    """The sheet as one text file; sheets are read by people, so one file holds them."""
+    sheet_lines(rows, order).coalesce(1).write.text(path, lineSep="\r\n")
+
+
+def only_keys(cache: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The cached rows whose key is wanted."""
+    return cache.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def summary_lines(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """line, value: a text table of aggregates, a row of bars per group, for cards and reports."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return rows.select(F.col(label).cast("string").alias("line"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in (label, *columns)]), F.lit(" |")).alias("value"))
 
 
 def job_progress(jobs: DataFrame) -> DataFrame:
