@@ -33,12 +33,13 @@ STRICT = Gates()
 RELAXED = replace(STRICT, min_prev=500, neg_max_pause=5000)
 
 
-def outcome(g: Gates = STRICT) -> Column:
-    """First rule that applies, in order; the last of each kind are the kept classes."""
+def outcome(g: Gates = STRICT, said: Column | None = None) -> Column:
+    """First rule that applies, in order; the last of each kind are the kept classes. said: whether the ended spurt has words."""
     c = F.col
+    said = F.coalesce(c("prev_text"), F.lit("")) != "" if said is None else said
     return (
         F.when(c("prev_ms") < g.min_prev, "short_prev")
-        .when(F.coalesce(c("prev_text"), F.lit("")) == "", "no_text")
+        .when(~said, "no_text")
         .when(c("active"), "straddle")
         .when(c("other_before_ms") > g.max_other_before, "bargein")
         .when(
@@ -61,7 +62,8 @@ def outcome(g: Gates = STRICT) -> Column:
 
 
 def judged(boundaries: DataFrame, g: Gates = STRICT) -> DataFrame:
-    return boundaries.withColumn("outcome", outcome(g))
+    said = F.col("prev_said") if "prev_said" in boundaries.columns else None
+    return boundaries.withColumn("outcome", outcome(g, said))
 
 
 def funnel(judged_rows: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from floorline.operators.labels import last_wins
 from floorline.functions.exprs import half_even, other_side, words_in
 from floorline.operators.asof import asof, lengths_until
+from floorline.operators.labels import last_wins
+from floorline.sources.scratch import stored
 
 #: Fixed values, in milliseconds and twentieths of a word.
 BACKCHANNEL_K, BACKCHANNEL_MS = 60, 1000
@@ -57,13 +58,16 @@ def edge_text(parts: Column) -> Column:
 
 
 def held_spans(spans: DataFrame) -> DataFrame:
-    """Spans that turns claim, with `hold`, `turn` (number in the call) and `cut_before`.
+    return held_of(floor_runs(spans))
+
+
+def held_of(runs: DataFrame) -> DataFrame:
+    """Spans that turns claim, with `hold`, `turn` (number in the call) and `cut_before`, from floor_runs.
 
     A hold is cut where its own pause lasts over LAPSE_MS, or where the other leg, absorbed spans left out,
     speaks over CROSSTALK_MS inside the pause.
     """
-    rows = floor_runs(spans)
-    claimed = rows.where("not absorbed")
+    claimed = runs.where("not absorbed")
     order = Window.partitionBy("base", "hold").orderBy("start_ms", "end_ms")
     claimed = claimed.withColumn("pause_from", F.lag("end_ms").over(order)).withColumn("leg", other_side(F.col("side")))
     others = claimed.select("base", F.col("side").alias("leg"), "start_ms", "end_ms")
@@ -77,7 +81,11 @@ def held_spans(spans: DataFrame) -> DataFrame:
 
 
 def absorbed_spans(spans: DataFrame) -> DataFrame:
-    return floor_runs(spans).where("absorbed").select("base", "side", "start_ms", "end_ms", "k")
+    return absorbed_of(floor_runs(spans))
+
+
+def absorbed_of(runs: DataFrame) -> DataFrame:
+    return runs.where("absorbed").select("base", "side", "start_ms", "end_ms", "k")
 
 
 def pauses(held: DataFrame) -> DataFrame:
@@ -141,7 +149,9 @@ def turns(spans: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     shared = lambda neighbour: F.coalesce(F.arrays_overlap("segs", neighbour), F.lit(False))
     edged = spans.withColumn("fresh", ~shared(F.lag("segs").over(leg))).withColumn("final", ~shared(F.lead("segs").over(leg)))
     edged = edged.withColumn("own_next", F.lead("start_ms").over(leg))
-    held = held_spans(edged)
+    # read by one and four branches: written once, not worked out anew in each
+    runs = stored(floor_runs(edged), "floor-runs")
+    held = stored(held_of(runs), "held-spans")
     first, last = F.struct("start_ms", "end_ms", "fresh"), F.struct("start_ms", "end_ms", "final", "own_next")
     rows = held.groupBy("base", "turn", "side").agg(
         F.min(first).alias("first"),
@@ -173,19 +183,21 @@ def turns(spans: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     # the other leg's speech: all of it inside pauses, without absorbed spans across the turn
     other = lambda t: t.select("base", F.col("side").alias("leg"), "start_ms", "end_ms")
     to_other = lambda t: t.withColumn("leg", other_side(F.col("side")))
-    quiet = lengths_until(to_other(pauses(held)), other(spans), ["base", "leg"], ["start_ms", "end_ms"])
+    quiet = lengths_until(to_other(pauses(held)), other(runs), ["base", "leg"], ["start_ms", "end_ms"])
     quiet = quiet.groupBy("base", F.col("turn").alias("turn_index")).agg(
         F.max(F.col("end_ms_until") - F.col("start_ms_until")).alias("pause_crosstalk_ms"),
         F.count("*").alias("n_pauses"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))), lambda s: F.concat_ws("-", s["start_ms"], s["end_ms"])), ",").alias("silence"),
     )
-    across = lengths_until(to_other(rows), other(held), ["base", "leg"], ["start_ms", "end_ms"])
-    rows = across.withColumn("speech_crosstalk_ms", F.col("end_ms_until") - F.col("start_ms_until")).drop("leg", "start_ms_until", "end_ms_until")
+    rows = stored(rows, "turn-rows")
+    # bounds alone go through the sorts
+    across = lengths_until(to_other(rows.select("base", "side", "turn_index", "start_ms", "end_ms")), other(held), ["base", "leg"], ["start_ms", "end_ms"])
+    across = across.select("base", "turn_index", (F.col("end_ms_until") - F.col("start_ms_until")).alias("speech_crosstalk_ms"))
     # an absorbed span counts for the other side's turn in which it begins
     owner = rows.select("base", "side", "start_ms", F.struct("end_ms", "turn_index").alias("owner"))
-    gone = asof(absorbed_spans(spans).select("base", other_side(F.col("side")).alias("side"), F.col("start_ms").alias("onset")), owner, ["base", "side"], "onset", "start_ms", "owner")
+    gone = asof(absorbed_of(runs).select("base", other_side(F.col("side")).alias("side"), F.col("start_ms").alias("onset")), owner, ["base", "side"], "onset", "start_ms", "owner")
     gone = gone.where("onset < owner.end_ms").groupBy("base", F.col("owner.turn_index").alias("turn_index")).agg(F.count("*").alias("n_absorbed"))
-    rows = rows.join(quiet, ["base", "turn_index"], "left").join(gone, ["base", "turn_index"], "left")
+    rows = rows.join(across, ["base", "turn_index"]).join(quiet, ["base", "turn_index"], "left").join(gone, ["base", "turn_index"], "left")
     for name in ("pause_crosstalk_ms", "n_pauses", "n_absorbed"):
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
     rows = rows.withColumn("silence", F.coalesce("silence", F.lit("")))

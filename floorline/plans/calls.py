@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floorline import fixtures as fx
 from floorline.operators import calllog as cl
 from floorline.registry import register
+from floorline.sources.scratch import stored
 
 _T0 = 1_000_000
 
@@ -215,7 +216,7 @@ def arm_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'unanswered', coalesce(max(longest_ms) > 10000, false) FROM cmp""",
 )
 def arm_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.warnings(cl.compare(log(spark, sf_dir).persist()))
+    return cl.warnings(cl.compare(stored(log(spark, sf_dir), "warning-log")))
 
 
 @register(
