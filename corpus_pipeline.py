@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floorline.llm import packing, secrets
 from floorline.llm.common import stored, table
-from floorline.llm.near_dup import classes
+from floorline.llm.near_dup import keep_first
 from floorline.llm.quality_crf import keep_good
 from floorline.llm.toxicity import keep_clean
 
@@ -20,18 +20,6 @@ from floorline.llm.toxicity import keep_clean
 ORACLE_SQL = None
 
 
-#: Up to so many ids (8 MB) are broadcast; more are joined by id.
-BROADCAST_IDS = 1_000_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of gone; rows without an id stay."""
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
@@ -43,14 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class; of repeated rows of one id, one stays."""
-    found = stored(classes(docs.select("doc_id", "text")), "near-dedup")
-    kept = _without(docs, found.where("doc_id <> class_id"))
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """One row of each near-duplicate class, that of its smallest doc_id; rows without a text or an id stay."""
+    return keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,27 +1,26 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles (lower-case words without marks), each labelled with how often
-it occurred before, so that labels are unique within a text. Each of SKETCHES hash functions keeps the two
-labelled shingles of least hash in the order in which they stand; texts of high edit similarity agree in many
-of these. Two sketches make a band; equal bands bring texts together.
-
-Copies are first folded into one representative by digest. Of each band key with several texts, a task gets at
-most about PIECE: there every text is paired with the centre of its cluster (the text that agrees most with
-the cluster's majority sketch) and with the text that agrees most with it. Keys with more texts are cut into
-pieces whose centres meet again under the same key, until one piece is left, and the final centres are paired
-with all members. This is decided for each key: where most texts under a key are unlike, its centres do not get
-fewer and it is left. From the links so found follow first classes; then every two texts of different classes
-under one key, of whatever size, that agree in LEAST_AGREEMENT sketches are compared too, keys of more than PIECE
-texts block by block. So no such pair that could join two classes is left out; the comparisons of sketches grow with
-the square of the number of texts under a key that has several classes, those of texts with the pairs that agree.
-
-A pair is a link if the longest common subsequence of labelled shingles within a band around the diagonal, over
-the shingles of both less that number, is at least SIMILARITY. Classes are connected components of links, found by
+A text is the sequence of its lower-case words without marks. Its five-word shingles are labelled with how often each
+occurred before, so that labels are unique within a text. Each of SKETCHES hash functions keeps the two labelled
+shingles of least hash in the order in which they stand; texts of high edit similarity agree in many of these. Every
+sketch is a key, and equal keys bring texts together: where s is the share of shingles that two texts have in common,
+they meet with probability 1 - (1 - s^2)^24, over 0.99 for s = 0.45, which is about one word in ten changed.
+
+Copies are first folded into one text by digest. Then every text is compared with the hub of each of its keys, the
+least text under that key, which links large families without pairing their members. The links give first classes;
+what remains are keys whose texts are of different classes. Under these every two texts of different classes are
+compared, keys of more than PIECE texts block by block, so no pair that could join two classes is left out; only
+bounds that no pair of SIMILARITY breaks (lengths, and counts of words by hash) spare an alignment.
+
+The similarity of two texts is the number of words that an alignment matches over the words of the longer text; two
+texts of SIMILARITY or more are linked. The alignment is anchored at the longest chain of common labelled shingles
+that stand in the same order within the band around the diagonal which a path of that similarity never leaves; between
+anchors the words are aligned by longest common subsequence. Classes are connected components of links, found by
 hooking to smaller neighbours and pointer jumping over tables in the shared folder.
 
-Defined results: a null text, or a null id, is in a class of its own; equal texts share a class, empty ones
-too; a text of one to four words is one shingle; texts without words are compared by digest alone; a class is
-named by its smallest doc_id.
+Defined results: a null text, or a null id, is in a class of its own; equal texts share a class, empty ones too; a
+text of one to four words is one shingle; texts without words are compared by digest alone; a class is named by its
+smallest doc_id; a row of an id that has several texts is in the class of its own text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +30,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, BAND = 32, 2
-PIECE = 500
-#: Sketch positions of 32 in which two texts must agree to be compared at all; at similarity 0.8 about 20 agree.
-LEAST_AGREEMENT = 9
+SKETCHES = 24
+#: Texts of a block of a key whose texts are compared pair by pair; buckets of the counts of words; pairs bounded at once.
+PIECE, BUCKETS, PAIRS = 500, 512, 1 << 14
+#: Parts into which the texts of a class are dealt for a join.
+SALTS = 16
+#: Texts up to which their set (8 MB of numbers) is broadcast; larger ones are joined.
+BROADCAST_TEXTS = 1_000_000
+#: Shingles hashed by all functions at once; longer texts function by function.
+TOGETHER = 4096
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,335 +100,352 @@ def labelled_shingles(codes: np.ndarray) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """For every hash function the hash of its two least labelled shingles in text order, as 64 bits."""
-    out = np.empty((2, SKETCHES), np.uint64)
-    for k in range(SKETCHES):
-        h = shingles * _MULTIPLIERS[k]
+    top = np.iinfo(np.uint64).max
+    i, j = np.empty(SKETCHES, np.int64), np.empty(SKETCHES, np.int64)
+    few = SKETCHES if len(shingles) <= TOGETHER else 1
+    for k in range(0, SKETCHES, few):
+        h = shingles * _MULTIPLIERS[k : k + few, None]
         h ^= h >> np.uint64(32)
         h *= _MIX
-        i = j = int(h.argmin())
-        if len(h) > 1:
-            h[i] = np.iinfo(np.uint64).max
-            j = int(h.argmin())
-        out[0, k], out[1, k] = shingles[min(i, j)], shingles[max(i, j)]
-    return _mixed(out[0] * _MIX ^ out[1] + np.arange(SKETCHES, dtype=np.uint64))
+        i[k : k + few] = j[k : k + few] = h.argmin(axis=1)
+        if len(shingles) > 1:
+            h[np.arange(few), i[k : k + few]] = top
+            j[k : k + few] = h.argmin(axis=1)
+    first, second = shingles[np.minimum(i, j)], shingles[np.maximum(i, j)]
+    return _mixed(_mixed(first * _MIX ^ second) + np.arange(SKETCHES, dtype=np.uint64) * _MIX)
 
 
-def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Shared labelled shingles in common order within the band, over the union; 0 as soon as it must fall under least."""
+def word_counts(codes: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BUCKETS, up to 255; words differ in at least as many places as these counts."""
+    return np.minimum(np.bincount(codes & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def _chain(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest chain that rises in both, of places sorted by i."""
+    if (j[1:] > j[:-1]).all():
+        return i, j
+    tails: list[int] = []
+    at: list[int] = []
+    before = np.full(len(j), -1, np.int64)
+    for k, x in enumerate(j.tolist()):
+        p = bisect.bisect_left(tails, x)
+        if p == len(tails):
+            tails.append(x)
+            at.append(k)
+        else:
+            tails[p], at[p] = x, k
+        if p:
+            before[k] = at[p - 1]
+    found, k = [], at[-1]
+    while k >= 0:
+        found.append(k)
+        k = int(before[k])
+    found = np.array(found[::-1])
+    return i[found], j[found]
+
+
+def common_words(a: list[int], b: list[int], width: int) -> int:
+    """Longest common subsequence by bits, of matches at most width places off the diagonal."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    left = full
+    narrow = (1 << (2 * width + 1)) - 1 if max(len(a), len(b)) > width else 0
+    for j, w in enumerate(b):
+        match = places.get(w)
+        if match is not None:
+            if narrow:
+                match &= narrow << (j - width) if j >= width else narrow >> (width - j)
+            used = left & match
+            left = (left + used | left - used) & full
+    return len(a) - left.bit_count()
+
+
+def _anchors(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Runs (place in a, place in b, words) that common labelled shingles match, in order and apart."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    inside = np.abs(i - j) <= width
+    i, j = i[inside], j[inside]
+    if not len(i):
+        return []
+    order = np.argsort(i)
+    i, j = _chain(i[order], j[order])
+    new = np.append(True, (np.diff(i - j) != 0) | (np.diff(i) > SHINGLE))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    runs, end_a, end_b = [], 0, 0
+    for p, q, n in zip(i[first].tolist(), j[first].tolist(), (i[last] - i[first] + SHINGLE).tolist()):
+        over = max(0, end_a - p, end_b - q)
+        if n > over:
+            runs.append((p + over, q + over, n - over))
+            end_a, end_b = p + n, q + n
+    return runs
+
+
+def alignment(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
+    """Matched words over those of the longer text; 0 as soon as it must fall under least.
+
+    a and b are the codes of the words, x and y their labelled shingles.
+    """
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
-    need = least * (n + m) / (1 + least)  # of common shingles
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < need - 1e-9:
+    need = least * max(n, m) - 1e-9
+    if not n or not m or min(n, m) < need:
         return 0.0
-    width = int(n + m - 2 * need) + 1  # a path with that many common shingles never leaves this band
-    inside = np.abs(i - j) <= width
-    j = j[inside][np.argsort(i[inside])]
-    tails: list[int] = []
-    if (j[1:] > j[:-1]).all():
-        common_ = len(j)
-    else:
-        for x in j.tolist():
-            k = bisect.bisect_left(tails, x)
-            if k == len(tails):
-                tails.append(x)
-            else:
-                tails[k] = x
-        common_ = len(tails)
-    return common_ / (n + m - common_)
+    width = int(n + m - 2 * need) + 1  # a path with that many matches never leaves this band
+    runs = _anchors(x, y, width) if min(n, m) >= SHINGLE else []
+    matched, spare, gaps, end_a, end_b = 0, 0, [], 0, 0
+    for p, q, k in [*runs, (n, m, 0)]:
+        if p > end_a and q > end_b:
+            gaps.append((end_a, p, end_b, q))
+            spare += min(p - end_a, q - end_b)
+        matched += k
+        end_a, end_b = p + k, q + k
+    for low, high, left, right in sorted(gaps, key=lambda g: (g[1] - g[0]) * (g[3] - g[2])):
+        if matched + spare < need:
+            return 0.0
+        spare -= min(high - low, right - left)
+        # the band of the whole text, seen from the gap's corner
+        matched += common_words(a[low:high].tolist(), b[left:right].tolist(), width + abs(low - left))
+    return matched / max(n, m) if matched >= need else 0.0
+
+
+def text_digest(text: str = "text") -> Column:
+    """16 bytes of a text's SHA-256; null for null."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, codes (bytes), bands (array<long>), sketch (16 bits of each sketch, bytes) of every text with words."""
+    """text (a number), doc_id, digest, codes (bytes), keys (array<long>; none without words), n and counts of every row.
 
-    def work(batches):
-        seen: dict[str, int] = {}
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                codes = word_codes(text, seen)
-                if len(codes):
-                    s = sketch(labelled_shingles(codes))
-                    bands = _mixed(s[0::BAND] + s[1::BAND] * _MIX + np.arange(SKETCHES // BAND, dtype=np.uint64))
-                    out.append((doc_id, codes.tobytes(), bands.view(np.int64).tolist(), (s & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
-            cols = list(zip(*out)) or [[]] * 4
-            types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "codes", "bands", "sketch"])
-
-    return common.text_map(documents, work, "doc_id long, codes binary, bands array<long>, sketch binary")
-
-
-def _clusters(s: np.ndarray) -> np.ndarray:
-    """Number of each row's cluster: rows join the first leader they agree with, else lead a cluster of their own."""
-    group = np.full(len(s), -1)
-    k = 0
-    left = np.arange(len(s))
-    while len(left):
-        like = (s[left] == s[left[0]]).sum(axis=1) >= LEAST_AGREEMENT
-        like[0] = True
-        group[left[like]] = k
-        left, k = left[~like], k + 1
-    return group
-
-
-def _centre(s: np.ndarray) -> int:
-    """Row that agrees most with the column-wise majority; the first of equals."""
-    if len(s) <= 2:
-        return 0
-    agree = np.zeros(len(s), np.int64)
-    for col in s.T:
-        values, inverse, counts = np.unique(col, return_inverse=True, return_counts=True)
-        agree += inverse == counts.argmax()
-    return int(agree.argmax())
-
-
-def _nearest(s: np.ndarray) -> np.ndarray:
-    """For each row the other row that agrees with it most, the first of equals."""
-    best = np.empty(len(s), np.int64)
-    for low in range(0, len(s), 256):
-        part = s[low : low + 256]
-        agree = np.zeros((len(part), len(s)), np.int16)
-        for k in range(s.shape[1]):
-            agree += part[:, k : k + 1] == s[:, k]
-        agree[np.arange(len(part)), low + np.arange(len(part))] = -1
-        best[low : low + 256] = agree.argmax(axis=1)
-    return best
-
-
-def _group_rows(ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mate, centre) of each text of one piece, ids ascending; itself where it agrees with none."""
-    mate, centre = ids.copy(), ids.copy()
-    group = _clusters(s)
-    for g in range(int(group.max()) + 1):
-        rows = np.flatnonzero(group == g)
-        if len(rows) > 1:
-            centre[rows] = ids[rows[_centre(s[rows])]]
-            mate[rows] = ids[rows[_nearest(s[rows])]]
-    return mate, centre
-
-
-def _paired(rows: DataFrame) -> DataFrame:
-    """doc_id, mate, centre, band, cut for rows that come sorted by band and piece."""
-
-    def emit(band, ids, cut, s, first):
-        """Pieces of two at once, larger ones by one."""
-        size = np.diff(np.append(first, len(ids)))
-        mate, centre = ids.copy(), ids.copy()
-        two = first[size == 2]
-        like = (s[two] == s[two + 1]).sum(axis=1) >= LEAST_AGREEMENT
-        two = two[like]
-        low, high = np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1])
-        for at in (two, two + 1):
-            centre[at] = low
-            mate[at] = np.where(ids[at] == low, high, low)
-        for low, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            order = low + np.argsort(ids[low : low + n], kind="stable")
-            mate[order], centre[order] = _group_rows(ids[order], s[order])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mate), pa.array(centre), pa.array(band), pa.array(cut)], ["doc_id", "mate", "centre", "band", "cut"])
+    Numbers are given by row, so they hold once the rows are stored.
+    """
 
     def work(batches):
-        held = None
+        seen: dict[str, int] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCHES)
-            now = [np.asarray(batch["band"]), np.asarray(batch["piece"]), np.asarray(batch["doc_id"]), np.array(batch["cut"].to_pylist(), bool), s]
-            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
-            new = np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            first = np.flatnonzero(new)
-            if len(first) > 1:  # the last piece may go on in the next batch
-                end = first[-1]
-                yield emit(held[0][:end], held[2][:end], held[3][:end], held[4][:end], first[:-1])
-                held = [x[end:] for x in held]
-        if held is not None:
-            yield emit(held[0], held[2], held[3], held[4], np.array([0]))
-
-    return rows.mapInArrow(work, "doc_id long, mate long, centre long, band long, cut boolean")
-
-
-def candidate_pairs(sketches: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of representatives to compare."""
-    rows = sketches.select("doc_id", F.explode("bands").alias("band"))
-    pairs, owners, level = [], None, 0
-    while True:
-        many = common.stored(rows.groupBy("band").count().where("count > 1"), f"band-counts-{level}")
-        top = many.agg(F.max("count")).first()[0]
-        if not top:
-            break
-        pieces = F.ceil(F.col("count") / PIECE)
-        member = rows.join(many, "band").select("doc_id", "band", F.pmod(F.xxhash64("doc_id", "band", F.lit(level)), pieces).alias("piece"), (F.col("count") > PIECE).alias("cut"))
-        sketched = member.join(sketches.select("doc_id", "sketch"), "doc_id").select("band", "piece", "doc_id", "cut", "sketch")
-        found = common.stored(_paired(sketched.repartition("band", "piece").sortWithinPartitions("band", "piece")), f"band-pairs-{level}")
-        pairs.append(found.select("doc_id", F.explode(F.array("mate", "centre")).alias("mate")))
-        if owners is not None:  # members of earlier pieces, with the centre that their own centre has come to
-            up = found.select(F.col("doc_id").alias("below"), "centre", "band")
-            owners = owners.join(up, ["below", "band"], "left").select("doc_id", F.coalesce("centre", "below").alias("below"), "band")
-            owners = common.stored(owners, f"band-owners-{level}")
-            pairs.append(owners.select("doc_id", F.col("below").alias("mate")))
-        if top <= PIECE:
-            break
-        cut = found.where("cut")
-        tally = cut.groupBy("band").agg(F.count("*").alias("members"), F.count_distinct("centre").alias("centres"))
-        # mostly unlike texts under a key: their centres would not get fewer, and crossing_pairs compares them all
-        merging = common.stored(tally.where("centres <= 0.5 * members").select("band"), f"band-merging-{level}")
-        cut = cut.join(merging, "band")
-        if owners is None:
-            owners = cut.select("doc_id", F.col("centre").alias("below"), "band")
-        rows = common.stored(cut.select(F.col("centre").alias("doc_id"), "band").distinct(), f"band-centres-{level}")
-        level += 1
-    if not pairs:
-        return sketches.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    both = pairs[0]
-    for p in pairs[1:]:
-        both = both.unionByName(p)
-    return both.where("doc_id <> mate").select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
+            codes = [word_codes(t, seen) for t in batch["text"].to_pylist()]
+            cols = [
+                batch["doc_id"],
+                batch["digest"],
+                pa.array([c.tobytes() for c in codes], pa.binary()),
+                pa.array([sketch(labelled_shingles(c)).view(np.int64) if len(c) else [] for c in codes], pa.list_(pa.int64())),
+                pa.array([len(c) for c in codes], pa.int64()),
+                pa.array([word_counts(c).tobytes() for c in codes], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "codes", "keys", "n", "counts"])
+
+    rows = common.text_map(documents, work, "doc_id long, digest binary, codes binary, keys array<long>, n long, counts binary")
+    return rows.withColumn("text", F.monotonically_increasing_id())
+
+
+def _may_link(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lengths and counts of words leave pairs of rows x and y the chance of a link."""
+    longest = np.maximum(n[x], n[y])
+    may = np.minimum(n[x], n[y]) >= SIMILARITY * longest - 1e-9
+    at = np.flatnonzero(may)
+    for part in np.split(at, range(PAIRS, len(at), PAIRS)):
+        apart = np.abs(counts[x[part]].astype(np.int16) - counts[y[part]]).sum(axis=1, dtype=np.int64)
+        may[part] = apart <= n[x[part]] + n[y[part]] - 2 * SIMILARITY * longest[part] + 1e-6
+    return may
+
+
+def hub_pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of a text and the least text under one of its keys."""
+    hubs = keyed.groupBy("key").agg(F.min("text").alias("a"), F.count("*").alias("members")).where("members > 1")
+    return keyed.join(hubs, "key").where("text <> a").select("a", F.col("text").alias("b")).distinct()
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """a, b of the rows of one cell that are of different classes and agree; rows come sorted by band, low and high."""
-
-    def pairs(ids, kind, n, block, s, low, high):
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            least, most = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
-            fits = (kind[part, None] != kind) & (least >= SIMILARITY * most)
+    """a, b of the rows of one cell that are of different classes and may be linked; rows come sorted by key, low and high."""
+
+    def pairs(held, at, many):
+        """Row numbers of a cell's pairs, a block of rows against all at a time."""
+        low, high = held["low"][at], held["high"][at]
+        kind, block = held["class_id"][at : at + many], held["block"][at : at + many]
+        for start in range(0, many, 256):
+            stop = min(start + 256, many)
+            fits = kind[start:stop, None] != kind
             # a cell of one block has each pair twice, a cell of two blocks the pairs of either block besides
-            fits &= (ids[part, None] < ids) if low == high else (block[part, None] == low) & (block == high)
+            if low == high:
+                fits &= np.arange(start, stop)[:, None] < np.arange(many)
+            else:
+                fits &= (block[start:stop, None] == low) & (block == high)
             x, y = np.nonzero(fits)
-            x += at
-            agree = np.zeros(len(x), np.int16)
-            for k in range(SKETCHES):
-                agree += s[x, k] == s[y, k]
-            like = agree >= LEAST_AGREEMENT
-            yield np.minimum(ids[x[like]], ids[y[like]]), np.maximum(ids[x[like]], ids[y[like]])
-
-    def emit(held, first):
-        band, low, high, ids, kind, n, block, s = held
-        size = np.diff(np.append(first, len(ids)))
-        two = first[(size == 2) & (low[first] == high[first])]
-        apart = (kind[two] != kind[two + 1]) & (np.minimum(n[two], n[two + 1]) >= SIMILARITY * np.maximum(n[two], n[two + 1]))
-        two = two[apart & ((s[two] == s[two + 1]).sum(axis=1) >= LEAST_AGREEMENT)]
-        found = [(np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]))]
-        for at, many in zip(first.tolist(), size.tolist()):
-            if many > 2 or many == 2 and low[at] != high[at]:
-                cell = slice(at, at + many)
-                found += pairs(ids[cell], kind[cell], n[cell], block[cell], s[cell], low[at], high[at])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+            x, y = x + at + start, y + at
+            may = _may_link(held["n"], held["counts"], x, y)
+            x, y = x[may], y[may]
+            # a pair of several keys counts under the first of them
+            same = held["keys"][x] == held["keys"][y]
+            once = held["keys"][x, same.argmax(axis=1)] == held["key"][at]
+            yield x[once], y[once]
+
+    def emit(held, first, end):
+        found = [(np.empty(0, np.int64),) * 2]
+        for at, many in zip(first.tolist(), np.diff(np.append(first, end)).tolist()):
+            if many > 1:
+                found += pairs(held, at, many)
+        x, y = (np.concatenate(c) for c in zip(*found))
+        x, y = held["text"][x], held["text"][y]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def work(batches):
-        held = None
+        kept = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, SKETCHES)
-            now = [*(np.asarray(batch[c]) for c in ("band", "low", "high", "doc_id", "class_id", "n", "block")), s]
-            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
-            new = np.append(True, np.any([c[1:] != c[:-1] for c in held[:3]], axis=0))
+            kept.append(batch)
+            rows = pa.Table.from_batches(kept).combine_chunks()
+            held = {c: rows[c].to_numpy() for c in ("key", "low", "high", "text", "class_id", "n", "block")}
+            held["keys"] = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+            held["counts"] = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            new = np.append(True, np.any([held[c][1:] != held[c][:-1] for c in ("key", "low", "high")], axis=0))
             first = np.flatnonzero(new)
-            if len(first) > 1:  # the last cell may go on in the next batch
-                end = first[-1]
-                yield emit([x[:end] for x in held], first[:-1])
-                held = [x[end:] for x in held]
-        if held is not None:
-            yield emit(held, np.array([0]))
+            end = int(first[-1])  # the last cell may go on in the next batch
+            if len(first) > 1:
+                yield emit(held, first[:-1], end)
+            kept = rows.slice(end).to_batches()
+        if kept:
+            yield emit(held if end == 0 else {c: v[end:] for c, v in held.items()}, np.array([0]), len(rows) - end)
 
     return rows.mapInArrow(work, "a long, b long")
 
 
-def crossing_pairs(sketches: DataFrame, label: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct pairs a < b, not among known, that share a band, agree, and are of different classes under label.
+def crossing_pairs(sketches: DataFrame, keyed: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs that share a key, may be linked, and are of different classes under label, each once.
 
     Every such pair is found: keys of more than PIECE texts are dealt into blocks, and each two blocks meet in a cell.
     """
-    named = sketches.join(label, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    n = F.greatest(F.lit(1), F.length("codes") / 4 - (SHINGLE - 1)).cast("long")
-    named = common.stored(named.select("doc_id", "class_id", n.alias("n"), "sketch", "bands"), "named")
-    rows = named.select("doc_id", "class_id", F.explode("bands").alias("band"))
-    mixed = rows.groupBy("band").agg(F.count("*").alias("count"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
-    mixed = common.stored(mixed.where("least <> most").select("band", F.ceil(F.col("count") / PIECE).alias("blocks")), "mixed-keys")
-    member = rows.join(mixed, "band").select("doc_id", "band", F.pmod(F.xxhash64("doc_id", "band"), "blocks").alias("block"), "blocks")
-    member = member.join(named.select("doc_id", "class_id", "n", "sketch"), "doc_id")
+    named = keyed.join(label, "text", "left").withColumn("class_id", F.coalesce("class_id", "text"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("members"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
+    mixed = mixed.where("least <> most").select("key", F.ceil(F.col("members") / PIECE).alias("blocks"))
+    member = common.stored(named.join(mixed, "key").select("text", "class_id", "key", F.pmod(F.xxhash64("text", "key"), "blocks").alias("block"), "blocks"), "mixed-keys")
+    member = _restricted(sketches.select("text", "n", "counts", "keys"), member.select("text")).join(member, "text")
     cells = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
     common.prepare(sketches.sparkSession)
-    found = _crossing(cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")).distinct()
-    return found.join(known, ["a", "b"], "left_anti")
+    return _crossing(cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"))
+
+
+def _restricted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts that are among ids, sorted out before a shuffle where the set is small."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids), "text", "left_semi") if ids.count() <= BROADCAST_TEXTS else texts
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the pairs whose banded alignment reaches least."""
-    spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    codes = sketches.select("doc_id", "codes")
-    if ids.count() < 1_000_000:  # at most 8 MB of ids
-        codes = codes.join(F.broadcast(ids), "doc_id", "left_semi")
-    joined = pairs.join(codes.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")), "b").join(codes.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), "a")
+    codes = _restricted(sketches.select("text", "codes"), pairs.select(F.col("a").alias("text")).union(pairs.select("b")))
+    side = lambda at, name: codes.select(F.col("text").alias(at), F.col("codes").alias(name))
+    joined = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
 
     def work(batches):
         for batch in batches:
-            x, y = batch["x"].to_pylist(), batch["y"].to_pylist()
-            known: dict[bytes, np.ndarray] = {}
+            known: dict[bytes, tuple] = {}
             found = []
-            for p, q in zip(x, y):
-                if min(len(p), len(q)) < 0.7 * least * max(len(p), len(q)):
+            for p, q in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
+                if min(len(p), len(q)) < least * max(len(p), len(q)) - 1e-6:
                     found.append(0.0)
                     continue
                 for c in (p, q):
                     if c not in known:
-                        known[c] = labelled_shingles(np.frombuffer(c, np.uint32))
-                found.append(alignment(known[p], known[q], least))
+                        codes = np.frombuffer(c, np.uint32)
+                        known[c] = codes, word_counts(codes).astype(np.int64), labelled_shingles(codes)
+                (a, u, x), (b, v, y) = known[p], known[q]
+                may = np.abs(u - v).sum() <= len(a) + len(b) - 2 * least * max(len(a), len(b)) + 1e-6
+                found.append(alignment(a, b, x, y, least) if may else 0.0)
             out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], ["a", "b", "similarity"])
-            yield out.filter(pa.array([f >= least for f in found], pa.bool_()))
+            yield out.filter(pa.array([f > 0 for f in found], pa.bool_()))
 
-    prepared = joined.select("a", "b", "x", "y")
-    common.prepare(spark)
-    return prepared.mapInArrow(work, "a long, b long, similarity double")
+    common.prepare(pairs.sparkSession)
+    return joined.mapInArrow(work, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id and class_id (smallest id) of every id that occurs in links of columns a and b.
+    """text and class_id (the smallest) of every text that occurs in links of columns a and b.
 
-    Every round joins each id's label with its neighbours' least label and then jumps to the label's label;
+    Every round joins each text's label with its neighbours' least label and then jumps to the label's label;
     rounds are logarithmic in the longest path for usual graphs and end when nothing changes.
     """
     edges = common.stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = common.stored(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), "labels-0")
+    label = common.stored(edges.groupBy(F.col("a").alias("text")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), "labels-0")
     step = 0
     while True:
         step += 1
-        near = edges.join(label.select(F.col("doc_id").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("class_id").alias("near"))
-        hooked = label.join(near, "doc_id").select("doc_id", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("old"))
+        near = edges.join(label.select(F.col("text").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("text")).agg(F.min("class_id").alias("near"))
+        hooked = label.join(near, "text").select("text", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("old"))
         hooked = common.stored(hooked, f"hooked-{step}")
-        jump = hooked.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("far"))
-        # a label is an id of the graph, so the inner join keeps every row
-        new = common.stored(hooked.join(jump, "class_id").select("doc_id", F.least("class_id", "far").alias("class_id"), "old"), f"labels-{step}")
-        label = new.select("doc_id", "class_id")
+        jump = hooked.select(F.col("text").alias("class_id"), F.col("class_id").alias("far"))
+        # a label is a text of the graph, so the inner join keeps every row
+        new = common.stored(hooked.join(jump, "class_id").select("text", F.least("class_id", "far").alias("class_id"), "old"), f"labels-{step}")
+        label = new.select("text", "class_id")
         if new.where("class_id <> old").isEmpty():
             return label
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_copies (rows with the same text) and n_links (links of its text to other texts)."""
-    digests = documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    digests = common.stored(digests, "digests")
-    usable = digests.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    copies = common.stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
-    sketches = common.stored(_sketched(documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")), "sketches")
-    # copies other than the representative are left out here, not before: their texts need no shuffle for that
-    others = usable.join(copies.where("n_copies > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
-    reps = common.stored(sketches.join(others, "doc_id", "left_anti"), "representatives")
-    pairs = common.stored(candidate_pairs(reps), "pairs")
-    links = common.stored(verified(pairs, reps).dropDuplicates(["a", "b"]), "links")
+def _classes_of(sketches: DataFrame, keyed: DataFrame) -> DataFrame:
+    """text, class_id of the texts of classes of several: links to hubs, then links between the classes these give."""
+    links = common.stored(verified(common.stored(hub_pairs(keyed), "hub-pairs"), sketches), "hub-links")
     label = components(links)
-    # what the pieces kept apart; pairs within a class can no longer change it
-    more = common.stored(verified(common.stored(crossing_pairs(reps, label, pairs), "crossing-pairs"), reps), "more-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        label = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    named = copies.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("digest", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = usable.join(named, "digest").select("doc_id", "class_id", "n_copies", "n_links")
-    alone = digests.where(F.col("digest").isNull() | F.col("doc_id").isNull())
-    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
+    crossing = common.stored(verified(common.stored(crossing_pairs(sketches, keyed, label), "crossing-pairs"), sketches), "crossing-links")
+    if crossing.isEmpty():
+        return label
+    of = lambda at: label.select(F.col("text").alias(at), F.col("class_id").alias(f"{at}_class"))
+    between = crossing.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).distinct()
+    merged = components(between).select(F.col("text").alias("class_id"), F.col("class_id").alias("root"))
+    # a text that was alone is a class by itself, so merged has a row for it that label lacks
+    alone = merged.join(label.select("class_id").distinct(), "class_id", "left_anti").select(F.col("class_id").alias("text"), F.col("root").alias("class_id"))
+    return label.join(merged, "class_id", "left").select("text", F.coalesce("root", "class_id").alias("class_id")).unionByName(alone)
+
+
+def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and digest of every row with an id and a text; digest, class_id, keeper, n_copies of every text of these).
+
+    keeper marks the text of the row that stands for the class: that of its smallest doc_id, of several such the least.
+    """
+    usable = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", text_digest().alias("digest"))
+    rows = common.stored(_sketched(usable), "sketches")
+    copies = common.stored(rows.groupBy("digest").agg(F.min("text").alias("text"), F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "copies")
+    repeated = copies.where("n_copies > 1").select("digest", F.col("text").alias("one"))
+    spare = rows.select("digest", "text").join(repeated, "digest").where("text <> one").select("text")
+    spare = F.broadcast(spare) if spare.count() <= BROADCAST_TEXTS else spare
+    keys = rows.select("text", "keys").join(spare, "text", "left_anti").select("text", F.explode("keys").alias("key"))
+    several = keys.groupBy("key").count().where("count > 1").select("key")
+    keyed = common.stored(keys.join(several, "key", "left_semi").select("text", "key"), "shared-keys")
+    named = copies.join(_classes_of(rows, keyed), "text", "left").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    alone = named.where("class_id is null").select("digest", F.col("first").alias("class_id"), F.lit(True).alias("keeper"), "n_copies")
+    # folded before the join and joined by class and salt, so a class of many texts is no group of one task
+    named = named.where("class_id is not null").withColumnRenamed("class_id", "root")
+    best = named.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("best"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = named.join(best, ["root", "salt"])
+    found = found.select("digest", F.col("best.first").alias("class_id"), (F.col("best.digest") == F.col("digest")).alias("keeper"), "n_copies").unionByName(alone)
+    return rows.select("doc_id", "digest"), common.stored(found, "classified")
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_copies (rows with the same text) of every row."""
+    rows, found = classified(documents)
+    named = rows.join(found, "digest").select("doc_id", "class_id", "n_copies")
+    alone = documents.where(F.col("text").isNull() | F.col("doc_id").isNull())
+    return named.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies")))
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One row of each class, all its columns: that of its smallest doc_id, one of several equal in id and text.
+
+    Rows without a text or an id stay.
+    """
+    _, found = classified(documents)
+    digest, first = (common.fresh(documents, c) for c in ("digest", "class_id"))
+    named = documents.withColumn(digest, F.when(F.col("doc_id").isNotNull(), text_digest()))
+    # the texts that go, and those whose rows are several, of which the one of the smallest id stays
+    gone = found.where("not keeper").select(F.col("digest").alias(digest))
+    several = found.where("keeper and n_copies > 1").select(F.col("digest").alias(digest), F.col("class_id").alias(first))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEXTS // 2 else df
+    gone, several = small(gone), small(several)
+    kept = named.join(gone, digest, "left_anti")
+    alone = kept.join(several, digest, "left_anti")
+    once = kept.join(several, digest).where(F.col("doc_id") == F.col(first)).dropDuplicates([digest])
+    return alone.select(documents.columns).unionByName(once.select(documents.columns))
