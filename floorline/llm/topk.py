@@ -5,12 +5,15 @@ the squared distance of two vectors is at least the sum over segments of w * ((m
 their inner product at most the sum of w * (m * m' + d * d'). Levels go from few segments to many; pairs whose
 bound falls under the query's k-th best so far are dropped, survivors get the exact integer product.
 
-Queries are a stated set, taken to the executors in blocks of about QUERY_BLOCK vectors; every task holds k
-rows a query, so memory is bounded, and a block costs one pass over the candidates.
-
-Defined results: vectors that are null or hold a null, NaN or infinite component take no part; vectors of
-another dimension are not compared; a query's own id is no candidate; equal scores prefer the smaller id;
-repeated candidate rows each take a rank, repeated query ids are asked once (with the smallest vector).
+Queries are a stated set. Queries and candidates are dealt into blocks of bounded size, and every pair of blocks is
+a cell that one task searches: it holds the two blocks and k rows a query, and passes on only those rows. Candidates
+are dealt by their place in the input, not by their id, so an id that many rows repeat fills no block of its own.
+Neither queries nor candidates go through the driver.
+
+Defined results: vectors that are null or hold a null, NaN or infinite component, and rows without an id, take no
+part; vectors of another dimension are not compared; a query's own id is no candidate; equal scores prefer the
+smaller id; repeated candidate rows each take a rank, repeated query ids are asked once (with the smallest vector);
+no queries, or an empty table, give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
-QUERY_BLOCK = 4096
+#: Components in a block of queries and in one of candidates; candidates are dealt into CELLS blocks at least.
+QUERIES_HOLD, CANDIDATES_HOLD, CELLS = 1 << 19, 1 << 22, 48
+#: Candidate rows of a block that are compared at once, by pairs with the block's queries.
+PAIRS = 1 << 21
 LEVELS = (4, 16)
 #: Above this share of surviving pairs a dense product is cheaper than picking pairs.
 DENSE = 0.1
@@ -47,7 +53,7 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Search:
-    """One block of queries with its k best candidates so far."""
+    """A block of queries of one dimension with its k best candidates so far."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
@@ -94,7 +100,7 @@ class Search:
         self.least[q[full]] = score[full]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each dimension that occurs."""
     offsets = np.asarray(column.offsets)
     flat, sizes = np.asarray(column.values), np.diff(offsets)
@@ -105,35 +111,40 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def _search(k: int):
+    def work(asked: pa.Table, against: pa.Table) -> pa.Table:
+        """The k best candidates of one cell for each of its queries, by dimension."""
+        ids, seen = np.asarray(asked["vec_id"].combine_chunks()), np.asarray(against["vec_id"].combine_chunks())
+        candidates = {x.shape[1]: (at, x) for at, x in _matrix(against["v"].combine_chunks())}
+        out = [(np.empty(0, np.int64),) * 3]
+        for at, x in _matrix(asked["v"].combine_chunks()):
+            if x.shape[1] in candidates:
+                rows, y = candidates[x.shape[1]]
+                search = Search(ids[at], x, k)
+                few = max(16, PAIRS // len(x))
+                for low in range(0, len(y), few):
+                    search.add(seen[rows[low : low + few]], y[low : low + few])
+                out.append((search.ids[search.q], search.vec, search.score))
+        return pa.table([np.concatenate(c) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+    return work
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, queries_hold: int = QUERIES_HOLD, candidates_hold: int = CANDIDATES_HOLD) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of every query."""
-    spark = vectors.sparkSession
-    common.prepare(spark)
+    common.prepare(vectors.sparkSession)
     rows = integer_vectors(vectors)
+    n, asks, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
+    width = max(1, width or 1)
+    asked_blocks = -(-asks // max(1, queries_hold // width)) or 1
+    blocks = max(-(-n // max(1, candidates_hold // width)), min(CELLS, -(-n // 256)), 1)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = -(-asked.count() // block)
-    found = None
-    for b in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        sizes = sorted({len(r["v"]) for r in got})
-        held = spark.sparkContext.broadcast(
-            {n: (np.array([r["vec_id"] for r in got if len(r["v"]) == n], np.int64), np.array([r["v"] for r in got if len(r["v"]) == n], np.float64).reshape(sum(len(r["v"]) == n for r in got), n)) for n in sizes}
-        )
-
-        def search(batches, held=held):
-            searches = {n: Search(ids, x, k) for n, (ids, x) in held.value.items()}
-            for batch in batches:
-                ids = np.asarray(batch["vec_id"])
-                for at, x in _matrix(batch["v"]):
-                    if x.shape[1] in searches:
-                        searches[x.shape[1]].add(ids[at], x)
-            for s in searches.values():
-                yield pa.RecordBatch.from_pydict({"query_id": s.ids[s.q], "vec_id": s.vec, "score": s.score})
-
-        part = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(asked_blocks)).cast("int").alias("low"), every(blocks).alias("high"))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    against = rows.select("vec_id", "v", place.alias("high")).withColumn("low", every(asked_blocks))
+    cells = asked.groupBy("low", "high").cogroup(against.groupBy("low", "high"))
+    found = cells.applyInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
