@@ -3,11 +3,13 @@
 The merges are compiled one after another into a deterministic automaton over tokens whose paths are exactly
 the correct tokenizations. It starts as one state with an arc per byte. The gadget of a merge (a, b) -> c
 splits the state that follows a: it loses its arc b, and every state from which a then b could be read gains
-an arc c to where b led. Two facts keep the result small: the state after an arc depends on its label alone,
-and a split state differs from its origin by one cut arc. So the compiled tables are, per token, the two parts
-it was made of and when, and per pair when it was cut; whether an arc leaves a state is read by going back
-through the gadgets that made state and arc. A word is encoded by reading its bytes through the trie of arc
-labels from every prefix: exactly one arc chain reaches each prefix. Decoding emits arc labels.
+an arc c to where b led. Two facts keep the result small: the state after an arc depends on its label alone, so
+states are numbered by tokens, and a split state differs from its origin by one cut arc. The compiled tables are,
+per token, the gadget that made it and its two parts, and per gadget the cut arc; from them any entry of the
+transition table (state, arc) -> whether the arc leaves the state follows by going back through the gadgets that
+made state and arc. Entries are put into the table when they are first asked for, and a word is encoded by steps
+through that table: its bytes are read through the trie of arc labels from every prefix, and exactly one chain of
+arcs reaches each prefix. Decoding emits arc labels.
 
 Defined results: a null text counts as empty and has no ids; strings of added tokens become their ids, as the
 library does by default; an id without a label is an error; ids that cut characters decode with U+FFFD.
@@ -31,6 +33,8 @@ UNSAFE = re.compile(f"[^\\t-\\r -~{LETTERS}]")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 #: Words of more bytes go through the automaton one by one; others together, in classes of length.
 CLASSES = (8, 16, 32, 64)
+#: Bits of a place in the transition table; an entry gives way to another of the same place.
+TABLE_BITS = 21
 #: Words kept with their encodings per Python worker.
 KEPT = 400_000
 
@@ -71,7 +75,11 @@ class Automaton:
                 made.add(c)
                 self.first[c], self.second[c], self.born[c] = a, b, rank
         self.size = size
-        self._table([a * size + b for a, b in cut], list(cut.values()))
+        self.cut = {a * size + b: rank for (a, b), rank in cut.items()}
+        self._table(list(self.cut), list(self.cut.values()))
+        self.moves = np.full(1 << TABLE_BITS, -1, np.int64)  # 2 * (state, arc) + whether the arc is there
+        self.known: dict[int, bool] = {}
+        self.parts: tuple[list[int], list[int], list[int]] | None = None
         nodes: dict[tuple[int, int], int] = {}
         ends = [-1]
         for i in sorted(made):
@@ -94,6 +102,8 @@ class Automaton:
             self.step[place[a], byte] = place[b]
         self.ends = np.empty(len(ends), np.int64)
         self.ends[place] = ends
+        self.arcs = {a << 8 | byte: b for (a, byte), b in nodes.items()}
+        self.finals = ends
 
     def _table(self, keys: list[int], ranks: list[int], bits: int = 18) -> None:
         """Open-addressed table of cuts: pair -> number of the gadget."""
@@ -124,6 +134,19 @@ class Automaton:
 
     def has_arc(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether an arc y leaves the state after x, by pairs; x = -1 is the start, which has every arc."""
+        key = x * self.size + y
+        place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        entry = self.moves[place]
+        out = (entry & 1).astype(bool)
+        new = np.flatnonzero((entry >> 1 != key) | (x < 0))
+        if len(new):
+            out[new] = self._derived(x[new], y[new])
+            new = new[x[new] >= 0]
+            self.moves[place[new]] = key[new] << 1 | out[new]
+        return out
+
+    def _derived(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Entries of the transition table, from the gadgets."""
         out = np.ones(len(x), bool)
         at = np.flatnonzero(x >= 0)
         x, y = x[at].copy(), y[at].copy()
@@ -139,6 +162,50 @@ class Automaton:
             x, y = np.where(bx >= by, self.second[x], x), np.where(by >= bx, self.first[y], y)
         return out
 
+    def _one_arc(self, x: int, y: int) -> bool:
+        """The same entry for one state and arc."""
+        if x < 0:
+            return True
+        key = x * self.size + y
+        found = self.known.get(key)
+        if found is None:
+            first, second, born = self.parts
+            until, found = 1 << 62, True
+            while True:
+                if self.cut.get(x * self.size + y, until) < until:
+                    found = False
+                    break
+                bx, by = born[x], born[y]
+                if bx < 0 and by < 0:
+                    break
+                until = by + 1 if by > bx else bx
+                x, y = second[x] if bx >= by else x, first[y] if by >= bx else y
+            if len(self.known) > KEPT:
+                self.known.clear()
+            self.known[key] = found
+        return found
+
+    def _one_word(self, word: bytes) -> list[int]:
+        """Ids of one word of any length, byte by byte; the time grows with its length."""
+        if self.parts is None:
+            self.parts = self.first.tolist(), self.second.tolist(), self.born.tolist()
+        n, arcs, finals, has = len(word), self.arcs, self.finals, self._one_arc
+        last, back = [-1] * (n + 1), [-1] * (n + 1)
+        for j in range(n):
+            node, state = 0, last[j]
+            for i in range(j, n):
+                node = arcs.get(node << 8 | word[i])
+                if node is None:
+                    break
+                token = finals[node]
+                if token >= 0 and back[i + 1] < 0 and has(state, token):
+                    last[i + 1], back[i + 1] = token, j
+        ids, at = [], n
+        while at > 0:
+            ids.append(last[at])
+            at = back[at]
+        return ids[::-1]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of every pre-split word."""
         out: list[list[int]] = [[] for _ in words]
@@ -152,8 +219,7 @@ class Automaton:
                 for i, ids in zip(some, self._run(text, sizes[some])):
                     out[i] = ids
         for i in np.flatnonzero(sizes > low):
-            text = np.frombuffer(words[i], np.uint8).astype(np.int64)[None]
-            out[i] = self._run(text, sizes[i : i + 1])[0]
+            out[i] = self._one_word(words[i])
         return out
 
     def _run(self, text: np.ndarray, sizes: np.ndarray) -> list[list[int]]:

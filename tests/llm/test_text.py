@@ -358,3 +358,23 @@ def test_secrets_of_no_rows_and_clashing_columns(spark):
     assert got.columns == [c.split()[0] for c in schema.split(", ")]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "<SECRET>", "mine", 7, 8, 9)] * 2 + [(None,) * 6], key=str)
     assert secrets.scan(spark.createDataFrame(rows, schema)).where("size(secret_spans) = 1").count() == 2
+
+
+def test_long_words_equal_the_library():
+    """Words of 100 kB and more: time grows with the length, ids are the library's."""
+    rng = random.Random(15)
+    library = Tokenizer.from_file(BYTE)
+    library.no_truncation()
+    library.no_padding()
+    automaton = bpe.Automaton(open(BYTE, encoding="utf-8").read())
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "-" * 50_000, "the" * 40_000, "ab" * 33 + "é" * 20_000]
+    long += ["".join(rng.choice("abcde-é漢") for _ in range(rng.randint(60, 300))) for _ in range(200)]
+    for w in long:
+        words = [w[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(w)]
+        began = time.time()
+        got = automaton.encode_words([x.encode() for x in words])
+        assert time.time() - began < 10
+        assert [i for ids in got for i in ids] == library.encode(w, add_special_tokens=False).ids
+    x, y = (np.array([rng.choice(sorted(set(map(int, automaton.ends[automaton.ends >= 0])))) for _ in range(5000)]) for _ in range(2))
+    automaton._one_word(b"")
+    assert [automaton._one_arc(a, b) for a, b in zip(x.tolist(), y.tolist())] == automaton.has_arc(x, y).tolist() == automaton.has_arc(x, y).tolist()
