@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from floorline.functions.exprs import overlap
 from floorline.operators.asof import lengths_until
 
+#: A minute: longer than most spans, so few rows fall into several buckets.
+BUCKET_MS = 60_000
+
 
 @dataclass(frozen=True)
 class Decoder:
@@ -70,11 +73,12 @@ def simultaneous(spans: DataFrame) -> DataFrame:
     return inside.groupBy("base").agg(F.sum("shared").alias("overlap_ms"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Pairs of rows with equal keys whose intervals overlap, with `overlap_ms`; right columns get the prefix r_.
 
-    With bucket_ms both sides are also dealt by time bucket, which spreads a key that holds very many rows;
-    a pair is kept in the bucket where its overlap starts, so none comes twice.
+    Both sides are also dealt by time bucket (not where bucket_ms is None), so rows meet only those of their time and
+    a key that holds very many rows is spread; a pair is kept in the bucket where its overlap starts, so none comes
+    twice.
     """
     r = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns])
     on = list(keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from floorline.functions.exprs import words_in
+from floorline.functions.exprs import word_count, words_in
 from floorline.operators.intervals import overlap_join
 from floorline.operators.asof import lengths_until
 
@@ -48,9 +48,8 @@ def apportion(spans: DataFrame, segments: DataFrame) -> DataFrame:
     """
     keys = ["base", "side"]
     speech = spans.select(*keys, "start_ms", "end_ms")
-    rows = overlap_join(speech, segments.select(*keys, "start_ms", "end_ms", "utt", "text"), keys)
-    words = words_in(F.col("r_text"))
-    rows = rows.withColumn("words", words).withColumn("n", F.size("words").cast("long")).where("n > 0 and r_end_ms > r_start_ms")
+    counted = segments.select(*keys, "start_ms", "end_ms", "utt", word_count(F.col("text")).alias("n"))
+    rows = overlap_join(speech, counted, keys).withColumnRenamed("r_n", "n").where("n > 0 and r_end_ms > r_start_ms")
     rows = rows.withColumn("from_ms", F.greatest("start_ms", "r_start_ms")).withColumn("to_ms", F.least("end_ms", "r_end_ms"))
     rows = lengths_until(rows, speech, keys, ["r_start_ms", "r_end_ms", "from_ms", "to_ms"])
     total = F.col("r_end_ms_until") - F.col("r_start_ms_until")
@@ -63,6 +62,9 @@ def apportion(spans: DataFrame, segments: DataFrame) -> DataFrame:
     first = F.least(n, F.floor(F.col("num0") * n / F.col("den")))
     end = F.least(n, F.floor((F.col("num1") * n * 1000 + 999 * F.col("den")) / (F.col("den") * 1000)))
     rows = rows.withColumn("first_word", F.greatest(F.lit(0).cast("long"), first)).withColumn("end_word", F.greatest(F.col("first_word"), end))
+    # texts join the slices at the end and pass through no sort
+    texts = segments.select(*keys, F.col("utt").alias("r_utt"), F.col("start_ms").alias("r_start_ms"), F.col("end_ms").alias("r_end_ms"), words_in(F.col("text")).alias("words"))
+    rows = rows.join(texts, [*keys, "r_utt", "r_start_ms", "r_end_ms"])
     text = F.array_join(F.slice("words", (F.col("first_word") + 1).cast("int"), (F.col("end_word") - F.col("first_word")).cast("int")), " ")
     count_ = F.round(n * F.greatest(F.lit(0).cast("long"), F.col("num1") - F.col("num0")) / F.col("den"), 6)
     return rows.select(*keys, "start_ms", "end_ms", F.col("r_utt").alias("utt"), "first_word", "end_word", text.alias("text"), count_.alias("n_words"))
