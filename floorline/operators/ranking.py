@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from floorline.sources.scratch import stored
+
 RANGES = 64
 
 
@@ -64,8 +66,9 @@ def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Colu
     if not groups:
         rows = rows.withColumn("__all", F.lit(0))
     by = groups or ["__all"]
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    counted = counted.withColumn("__range", range_of(F.col(value), bounds(rows, value)))
+    # read three times below: written once, so the source is worked out once
+    counted = stored(rows.groupBy(*by, value).agg(F.count("*").alias("__c")), "value-counts")
+    counted = counted.withColumn("__range", range_of(F.col(value), bounds(counted, value)))
     parts = counted.groupBy(*by, "__range").agg(F.sum("__c").alias("__c"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group at most
     parts = parts.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0))).withColumn("n", F.sum("__c").over(Window.partitionBy(*by)))

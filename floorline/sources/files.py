@@ -9,37 +9,37 @@ from floorline.operators.labels import first_by, last_wins
 SEGMENT = "utt string, reco string, start double, end double"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), value of text files, in file order.
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """place, value of the lines of text files; places sort by file and then as the lines stand in it.
 
-    A file is read as one value and its lines are numbered inside it, so files must fit a task's memory; the
-    transcript files that need an order of lines are small.
+    A block of a file is read in order by one task, whose row numbers rise, so (file, block, number) is the order
+    of lines however large the file is.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "value"))
-    return lines.where("value <> ''")
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(place.alias("place"), "value").where("value <> ''")
 
 
 def read_text(spark: SparkSession, paths: list[str]) -> DataFrame:
     """utt, text of `utt<TAB>words` files; a later path wins, and a row with a TAB beats a bare id."""
     rows = None
     for rank, path in enumerate(paths):
-        part = numbered_lines(spark, path).select(F.lit(rank).alias("rank"), "line_no", "value")
+        part = placed_lines(spark, path).select(F.lit(rank).alias("rank"), "place", "value")
         rows = part if rows is None else rows.unionByName(part)
     cut = F.split("value", "\t", 2)
-    rows = rows.select(F.trim(F.get(cut, F.lit(0))).alias("utt"), (F.size(cut) == 2).alias("has_tab"), "rank", "line_no", F.trim(F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).alias("text"))
-    return last_wins(rows, ["utt"], ["has_tab", "rank", "line_no"]).select("utt", "text")
+    rows = rows.select(F.trim(F.get(cut, F.lit(0))).alias("utt"), (F.size(cut) == 2).alias("has_tab"), "rank", "place", F.trim(F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).alias("text"))
+    return last_wins(rows, ["utt"], ["has_tab", "rank", "place"]).select("utt", "text")
 
 
 def read_segments(spark: SparkSession, paths: list[str], texts: DataFrame) -> DataFrame:
     """Segments of `utt reco start end` files: lines of other widths are skipped, the first line of an utt wins, no text is ''."""
     rows = None
     for rank, path in enumerate(paths):
-        part = numbered_lines(spark, path).select(F.lit(rank).alias("rank"), "line_no", F.split(F.trim("value"), r"\s+").alias("f"))
+        part = placed_lines(spark, path).select(F.lit(rank).alias("rank"), "place", F.split(F.trim("value"), r"\s+").alias("f"))
         rows = part if rows is None else rows.unionByName(part)
     at = lambda i: F.get("f", F.lit(i))
-    rows = rows.where(F.size("f") == 4).select(at(0).alias("utt"), at(1).alias("reco"), at(2).cast("double").alias("start"), at(3).cast("double").alias("end"), "rank", "line_no")
-    first = first_by(rows, ["utt"], ["rank", "line_no"]).drop("rank", "line_no")
+    rows = rows.where(F.size("f") == 4).select(at(0).alias("utt"), at(1).alias("reco"), at(2).cast("double").alias("start"), at(3).cast("double").alias("end"), "rank", "place")
+    first = first_by(rows, ["utt"], ["rank", "place"]).drop("rank", "place")
     return first.join(texts, "utt", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

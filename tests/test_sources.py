@@ -233,3 +233,17 @@ def test_predicates_and_rules(spark):
         checks.require(p, F.col("p") < 0.9, "too much").collect()
     tags = spark.createDataFrame([("m", "qa", ""), ("m", "all", "dev")], "m string, s string, x string")
     assert [r[0] for r in tags.select(labels.job_tag(F.col("m"), F.col("s"), F.col("x"), "+new")).collect()] == ["m", "m@all-dev+new"]
+
+
+def test_order_of_lines_in_blocks(spark, tmp_path):
+    """The last line of an id wins though its file is read in many blocks."""
+    put(tmp_path, "big", "".join(f"u{i % 500}\tt{i}\n" for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = files.read_text(spark, [f"{tmp_path}/big"])
+        assert spark.read.text(f"{tmp_path}/big").rdd.getNumPartitions() > 5
+        assert {r.utt: r.text for r in rows.collect()} == {f"u{i}": f"t{39_500 + i}" for i in range(500)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
