@@ -10,7 +10,7 @@ Three kinds of evidence meet in log odds over the languages of the training text
   own share is taken off its host's sum, so it does not vote for itself.
 
 Hosts that hold more than one in HOT_SHARE pages are at most HOT_SHARE, so their priors are broadcast; the
-others' priors are joined by host. The models read about EXAMPLES documents (a documented bound); counts and
+others' priors are joined by host. The models read about EXAMPLES documents of the LANGUAGES most frequent languages (documented bounds); counts and
 priors cover every page.
 
 Defined results: a null or empty page has no text evidence; a null or unreadable address belongs to the host
@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common
 
 EXAMPLES, BUCKETS = 6000, 1 << 15
+#: Languages that are told apart: the most frequent ones (a bound of the fit).
+LANGUAGES = 64
 #: Trigrams after which text evidence grows only with the logarithm of their number.
 TEMPER = 60.0
 #: Weights, in pages, of a parent's prior against its child's counts.
@@ -38,13 +40,33 @@ HOT_SHARE = 1000
 #: Country suffixes that speak for a language (fixed values).
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "nl": "nl", "pt": "pt"}
 
-_HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style|noscript|template)\b|<!--", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _MULT = np.array([2654435761, 40503, 2246822519], np.uint64)
 
 
 def visible_text(html: str | None) -> str:
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html or "")))
+    """Text outside tags, comments and elements that are not shown; an element without an end hides nothing.
+
+    Every end is searched once from where it can stand, and tags only where a bracket closes them, so the time grows
+    with the length whatever the markup.
+    """
+    html = html or ""
+    shown, at, found, open_ended = [], 0, _HIDDEN.search(html), set()
+    while found:
+        kind = (found[1] or "").lower()
+        end = None if kind in open_ended else _CLOSING[kind].search(html, found.end())
+        if end is None:
+            open_ended.add(kind)
+            found = _HIDDEN.search(html, found.end())
+            continue
+        shown.append(html[at : found.start()])
+        at = end.end()
+        found = _HIDDEN.search(html, at)
+    text = " ".join([*shown, html[at:]])
+    closed = text.rfind(">") + 1
+    return entities.unescape(_TAG.sub(" ", text[:closed]) + text[closed:])
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -61,7 +83,8 @@ def trigram_counts(text: str) -> np.ndarray:
 def fit(documents: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], np.ndarray]:
     """(languages, log probability per language and trigram) from about `examples` documents of known language."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = known.count()
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known, n = known.where(F.col("lang").isin([r["lang"] for r in top])), sum(r["n"] for r in top)
     rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, examples / max(1, n))))
 
     def work(batches):
@@ -85,7 +108,7 @@ def fit(documents: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], np.n
 
 def declared_language(html: Column, langs: list[str]) -> Column:
     """Primary subtag of the markup's lang attribute, if it is a known language."""
-    code = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    code = F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
     return F.when(code.isin(langs), code)
 
 

@@ -251,6 +251,132 @@ def test_language_fusion(spark):
     assert got[63].lang == "de" and got[63].text_lang == "de" and got[63].address == "de"  # a wrong declaration is outweighed
 
 
+def test_hidden_markup_takes_linear_time():
+    import re
+    import time
+
+    rng = random.Random(21)
+    plain = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+    parts = ["<script>", "</script >", "<style x='1'>", "</style>", "<!--", "-->", "a < b", "<p>", "words", "&amp;", "<", ">", "<TEMPLATE>", "</template>"]
+    for _ in range(400):
+        html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        hidden = plain.sub(" ", html)
+        assert language.visible_text(html).split() == __import__("html").unescape(re.sub(r"<[^>]*>", " ", hidden)).split(), html
+    began = time.time()
+    for piece in ("<script", "<script>", "<!--", "<", "<style></style", "</script>", "<html "):
+        language.visible_text(piece * 100_000)
+    assert time.time() - began < 10
+
+
+def test_language_posteriors_equal_brute_force(spark):
+    """Every posterior recomputed page by page: text, declarations, and the host's prior without the page itself."""
+    rng = random.Random(22)
+    vocabulary = {"en": "the of and with this whole thing", "fr": "le la que avec tre aux elle", "de": "der die und mit ein schon ich"}
+    words = lambda lang, n: " ".join(rng.choice(vocabulary[lang].split()) for _ in range(n))
+    train = spark.createDataFrame([(i, words(lang, 40), lang) for i, lang in enumerate([*vocabulary] * 30)], "doc_id long, text string, lang string")
+    hosts = ["www.a.de", "x.a.de", "b.com", "fr.c.org", "c.org"]
+    pages = []
+    for i in range(150):
+        lang = rng.choice([*vocabulary])
+        said = rng.choice([None, lang, "en", "xx"])
+        url = rng.choice([None, f"http://{rng.choice(hosts)}/{rng.choice(['', 'de/', 'q?x=fr'])}p"])
+        pages.append((i, url, f"<html{f' lang={said}' if said else ''}>{words(lang, rng.choice([0, 1, 3, 40]))}</html>"))
+    p = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string")
+    got = language.identify(p, train).collect()
+    langs, model = language.fit(train)
+    rows = []
+    for r in got:
+        counts = language.trigram_counts(language.visible_text(pages[r.page_id][2]))
+        n, score = counts.sum(), model @ counts
+        score = score * (language.TEMPER * (1 + math.log(n / language.TEMPER)) / n) if n > language.TEMPER else score
+        score -= score.max()
+        rows.append((r, score, np.exp(score) / np.exp(score).sum()))
+    right = {}
+    for name in ("declared", "address"):
+        sure = [(getattr(r, name), langs[int(t.argmax())]) for r, _, t in rows if t.max() >= 0.9 and getattr(r, name) is not None]
+        right[name] = min(0.99, (sum(a == b for a, b in sure) + 1) / (len(sure) + 2))
+    site, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+
+    def prior(of, key, parent, weight):
+        group = [t for r, _, t in rows if key(r.host) == of]
+        return (np.sum(group, axis=0) + weight * parent) / (len(group) + weight)
+
+    corpus = (np.sum([t for _, _, t in rows], axis=0) + 1 / len(langs)) / (len(rows) + 1)
+    for r, score, text in rows:
+        above = prior(suffix(r.host), suffix, corpus, language.CORPUS_WEIGHT)
+        above = prior((site(r.host), suffix(r.host)), lambda h: (site(h), suffix(h)), above, language.SUFFIX_WEIGHT)
+        same = [t for q, _, t in rows if q.host == r.host]
+        own = (np.sum(same, axis=0) - text + language.SITE_WEIGHT * above) / (len(same) - 1 + language.SITE_WEIGHT)
+        logs = score + np.log(np.maximum(own, 1e-9))
+        for name in ("declared", "address"):
+            said = getattr(r, name)
+            if said is not None:
+                logs = logs + np.log([right[name] if x == said else (1 - right[name]) / (len(langs) - 1) for x in langs])
+        post = np.exp(logs - logs.max())
+        post /= post.sum()
+        assert abs(r.posterior - post.max()) < 1e-6 and post[langs.index(r.lang)] > post.max() - 1e-9
+
+
+def test_language_of_no_rows_and_clashing_columns(spark):
+    train = spark.createDataFrame([(1, "the of and", "en"), (2, "le la que", "fr")], "doc_id long, text string, lang string")
+    assert language.identify(spark.createDataFrame([], "page_id long, url string, html string"), train).collect() == []
+    clash = spark.createDataFrame([(1, "http://a.fr/", "<p>le la", "mine", 3), (1, "http://a.fr/", "<p>le la", "mine", 3)], "page_id long, url string, html string, lang string, host int")
+    assert [r.lang for r in language.identify(clash, train).collect()] == ["fr", "fr"]
+
+
+def brute_rules(text):
+    """The contract's counts by lists."""
+    import re
+
+    text = text or ""
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^\\x20\\x09-\\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    return [len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), sum(x in lines[:i] for i, x in enumerate(lines)), len(hit)]
+
+
+def test_rules_equal_brute_force(spark):
+    rng = random.Random(23)
+    alphabet = ["a", "b", "ab", "é漢", "#", "*$", " ", " ", " ", "\n", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\u00a0", "\u2003", "|<>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["", None, "a b c", "a b c a b c", "a a a a", " \n \n ", "x\nx\nx", ("one two three four " * 20).strip(), "w " * 300]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.judge(d.withColumn("kept", F.lit("clash")), labels).collect()}
+    for i, t in enumerate(texts):
+        want = brute_rules(t)
+        assert [got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == want, repr(t)
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert got[i].base_failed == failed and got[i].kept == (not failed and got[i].anomaly <= got[i].threshold)
+    assert quality_rules.judge(spark.createDataFrame([], DOCS), labels).collect() == []
+
+
+def test_forest_paths_equal_a_walk():
+    rng = np.random.default_rng(24)
+    rows = np.round(rng.normal(size=(300, 3)), 1)
+    forest = quality_rules.Forest(rows, 20, 64)
+
+    def walk(tree, x):
+        feature, split, left, path = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] + int(x[feature[at]] > split[at])
+        return path[at]
+
+    want = [2 ** (-np.mean([walk(t, x) for t in forest.trees]) / forest.expected(64)) for x in rows]
+    assert np.allclose(forest.score(rows), want)
+
+
+def test_threshold_parts_both_classes():
+    fine, bad = np.linspace(0.3, 0.5, 1000), np.linspace(0.49, 0.7, 300)
+    threshold = quality_rules.calibrated(np.append(fine, bad), np.append(np.ones(1000, int), np.zeros(300, int)))
+    assert (fine > threshold).mean() <= 0.01 and (bad > threshold).mean() > 0.9
+    assert quality_rules.calibrated(bad, np.zeros(300, int)) == 1.0
+    assert quality_rules.calibrated(fine, np.ones(1000, int)) == 0.5
+
+
 def test_language_without_training(spark):
     p = spark.createDataFrame([(1, "http://a.de/", "<p>x</p>")], "page_id long, url string, html string")
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
