@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floorline import fixtures as fx
-from floorline.operators import boundaries as bd, calllog, checks, gates, labels as lb, metrics as mt, ranking, replay as rp, turns as tn
+from floorline.operators import boundaries as bd, calllog, checks, gates, labels as lb, metrics as mt, ranking, replay as rp, sampling, turns as tn
 from floorline.plans.evaluation import scores
 from floorline.plans.release import _asked, _CLOSES_SQL
 from floorline.plans.timeline import BOUNDARY_SQL, SPURT_SQL, TURN_SQL
 from floorline.registry import register
 from floorline.sources import audio, sinks, vectors
+from floorline.sources.scratch import scratch
+from floorline.streaming import frames as st
 
 _SHEET_SQL = """answers AS (SELECT doc_id AS idx, 'c' || (doc_id % 7) AS call, CASE WHEN doc_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS side, doc_id * 37 AS t_ms FROM labels),
 sheet AS (SELECT doc_id AS idx, CASE WHEN toxic = 1 THEN 'unsure' WHEN quality = 1 THEN 'complete' ELSE 'incomplete' END AS verdict FROM labels WHERE doc_id % 5 <> 4)"""
@@ -156,6 +158,32 @@ def buffer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.crossJoin(F.broadcast(filled.agg(F.count_if(F.col("fill_ms") < rp.SHORT_MS).alias("short"))))  # a row each
 
 
+@register(
+    "stream_buffer",
+    fx.with_tables(fx.SPANS_SQL, _CLOSES_SQL)
+    + """ SELECT a.leg, a.asked_ms AS t_ms, least(8000, a.asked_ms - coalesce((SELECT max(b.t_ms) FROM bounds b WHERE b.leg = a.leg AND b.k % 2 = 0 AND b.t_ms <= a.asked_ms
+    AND EXISTS (SELECT 1 FROM asked x WHERE x.leg = b.leg AND x.t_ms = b.t_ms)), 0)) AS fill_ms FROM asked a WHERE asked_ms IS NOT NULL""",
+)
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling buffer over a replayed stream of asks and turn boundaries."""
+    source, out, checkpoint = scratch(spark, "buffer"), scratch(spark, "fills"), scratch(spark, "checkpoint")
+    asked = _asked(spark, sf_dir)
+    asks = asked.where("asked_ms is not null").select("leg", F.col("asked_ms").alias("t_ms"), F.lit("ask").alias("kind"))
+    st.append_log(asks.unionByName(asked.where("k % 2 = 0").select("leg", "t_ms", F.lit("clear").alias("kind"))), source)
+    st.replay(st.buffer_stream(spark.readStream.schema("leg string, t_ms long, kind string").json(source)), out, checkpoint)
+    return spark.read.schema("leg string, t_ms long, fill_ms long").parquet(out)
+
+
+@register(
+    "evenly_spaced",
+    """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS place, count(*) OVER () AS total FROM documents)
+    SELECT doc_id FROM o WHERE place IN (SELECT CAST(floor(CAST(i * (total - 1) AS DOUBLE) / 255) AS BIGINT) FROM range(256) r(i), (SELECT max(total) AS total FROM o))""",
+)
+def evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """256 rows evenly spaced in the order of ids as text, first and last included: the sampling is the feature."""
+    return sampling.evenly_spaced(fx.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 256)
+
+
 @register(
     "capacity_gap",
     """WITH s AS (SELECT CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, CAST(embedding[1] AS DOUBLE) * 0.5 + 0.5 AS p, CASE WHEN vec_id % 4 = 0 THEN 'dev' ELSE 'train' END AS split FROM embeddings),

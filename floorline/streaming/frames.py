@@ -52,6 +52,33 @@ def decode_stream(frames: DataFrame, d: Decoder = Decoder()) -> DataFrame:
     return frames.groupBy("leg").applyInPandasWithState(step, "leg string, start_ms long, end_ms long", "speaking int, start long, silent long, next long", "append", GroupStateTimeout.NoTimeout)
 
 
+def buffer_stream(events: DataFrame, most_ms: int = 8000) -> DataFrame:
+    """leg, t_ms, fill_ms: how much sound a rolling buffer holds at every `ask` of a stream of asks and clears.
+
+    events: leg, t_ms, kind; a leg's events come in order over the batches. The state is when the buffer was cleared.
+    """
+
+    def step(key, batches, state):
+        (since,) = state.get if state.exists else (0,)
+        out = []
+        # at one time a clear comes before an ask
+        rows = pd.concat(list(batches)).assign(late=lambda x: x["kind"] == "ask").sort_values(["t_ms", "late"], kind="stable")
+        for t, kind in zip(rows["t_ms"], rows["kind"]):
+            if kind == "clear":
+                since = int(t)
+            else:
+                out.append((key[0], int(t), min(most_ms, int(t) - since)))
+        state.update((since,))
+        yield pd.DataFrame(out, columns=["leg", "t_ms", "fill_ms"])
+
+    return events.groupBy("leg").applyInPandasWithState(step, "leg string, t_ms long, fill_ms long", "since long", "append", GroupStateTimeout.NoTimeout)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to a log of JSON lines; every writer adds files of its own, so writers do not meet."""
+    rows.write.mode("append").json(path)
+
+
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """Append-only JSON logs as a stream of wide rows."""
     return spark.readStream.schema(SCHEMA).json(path)
