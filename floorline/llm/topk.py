@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
-#: Components in a block of queries and in one of candidates; candidates are dealt into CELLS blocks at least.
-QUERIES_HOLD, CANDIDATES_HOLD, CELLS = 1 << 19, 1 << 22, 48
+#: Components in a block of queries and in one of candidates; candidates are dealt into CELLS blocks at least where they are many.
+QUERIES_HOLD, CANDIDATES_HOLD, CELLS = 1 << 19, 1 << 22, 16
 #: Candidate rows of a block that are compared at once, by pairs with the block's queries.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 LEVELS = (4, 16)
 #: Above this share of surviving pairs a dense product is cheaper than picking pairs.
 DENSE = 0.1
@@ -64,11 +64,14 @@ class Search:
         self.least = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        q = c = None  # surviving pairs; None while all are
+        exact = np.abs(x).max(initial=0) * self.size < 2.0**52
+        own_x, other_x = (self.x, x) if exact else (self.x.astype(np.int64), x.astype(np.int64))
+        pairs = len(self.ids) * len(ids)
         slack = 1e-6 * (1 + self.size * np.abs(x).max(initial=0))
-        for own in self.levels:
+        q = c = None  # surviving pairs; None while all are
+        for own in self.levels if np.isfinite(self.least).any() else ():
             other = statistics(x, own.shape[1] // 2)
-            if q is None or len(q) > DENSE * len(self.ids) * len(ids):
+            if q is None or len(q) > DENSE * pairs:
                 ok = own @ other.T + slack >= self.least[:, None]
                 if q is not None:
                     keep = ok[q, c]
@@ -78,16 +81,21 @@ class Search:
             else:
                 keep = np.einsum("ij,ij->i", own[q], other[c]) + slack >= self.least[q]
                 q, c = q[keep], c[keep]
-        if not len(q):
+        if q is not None and len(q) <= DENSE * pairs:
+            if not len(q):
+                return
+            score = np.concatenate([np.einsum("ij,ij->i", own_x[q[i : i + 65536]], other_x[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
+            keep = (score >= self.least[q]) & (ids[c] != self.ids[q])
+            self._merge(q[keep], score[keep].astype(np.int64), ids[c[keep]])
             return
-        exact = np.abs(x).max(initial=0) * self.size < 2.0**52
-        own, other = (self.x, x) if exact else (self.x.astype(np.int64), x.astype(np.int64))
-        if len(q) > DENSE * len(self.ids) * len(ids):
-            score = (own @ other.T)[q, c]
-        else:
-            score = np.concatenate([np.einsum("ij,ij->i", own[q[i : i + 65536]], other[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
-        keep = (score >= self.least[q]) & (ids[c] != self.ids[q])
-        self._merge(q[keep], score[keep].astype(np.int64), ids[c[keep]])
+        score = own_x @ other_x.T
+        fits = (self.ids[:, None] != ids) & (score >= self.least[:, None])
+        if len(ids) > self.k:  # what is under a query's k-th best here is not sorted
+            low = score.min(initial=0) - 1
+            score_here = np.where(fits, score, low)
+            fits &= score >= np.partition(score_here, len(ids) - self.k, axis=1)[:, len(ids) - self.k, None]
+        q, c = np.nonzero(fits)
+        self._merge(q, score[q, c].astype(np.int64), ids[c])
 
     def _merge(self, q, score, vec) -> None:
         q, score, vec = np.append(self.q, q), np.append(self.score, score), np.append(self.vec, vec)
@@ -137,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, queries_hold: int =
     n, asks, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
     width = max(1, width or 1)
     asked_blocks = -(-asks // max(1, queries_hold // width)) or 1
-    blocks = max(-(-n // max(1, candidates_hold // width)), min(CELLS, -(-n // 256)), 1)
+    blocks = max(-(-n // max(1, candidates_hold // width)), min(CELLS, -(-n // 1024)), 1)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(asked_blocks)).cast("int").alias("low"), every(blocks).alias("high"))
