@@ -79,6 +79,19 @@ def shard_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("name", sinks.shard_name(F.col("lang"), F.col("shard"), F.col("n_shards")))
 
 
+@register(
+    "shards_by_sum",
+    """WITH s AS (SELECT lang, doc_id, coalesce(strlen(text), 0) AS n FROM documents), c AS (SELECT lang, doc_id,
+    coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, sum(n) OVER (PARTITION BY lang) AS total FROM s),
+    k AS (SELECT lang, doc_id, upto, CAST(greatest(1, ceil(total / 200000.0)) AS INTEGER) AS n_shards FROM c)
+    SELECT lang, doc_id, CAST(least(floor(upto / 200000.0), n_shards - 1) AS INTEGER) AS shard, n_shards FROM k""",
+)
+def shards_by_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per language dealt into shards of about 200 kB by running sums over ranges."""
+    rows = fx.table(spark, sf_dir, "documents")
+    return sinks.shards_by_sum(rows, "lang", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)), 200_000)
+
+
 @register(
     "request_lines",
     """SELECT '{"request":{"contents":[{"role":"user","parts":[{"text":"Is it complete?"},{"fileData":{"fileUri":"clips/' || doc_id || '.wav","mimeType":"audio/wav"}}]}]}}' AS value FROM labels""",
