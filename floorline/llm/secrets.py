@@ -11,7 +11,8 @@ and numbers joined by marks or by capitals, known dummy words) suppresses it. Th
 without the marks at its ends.
 
 A candidate's characters are taken apart once and every step costs the same, so the time is linear in a run's length;
-no pattern backtracks or recurses over a run. Positions come from the alternation of split and match lengths, in code
+no pattern backtracks or recurses over a run; matches are gathered in parts and texts put together from bytes, so many
+secrets in one text do not copy it again and again. Positions come from the alternation of split and match lengths, in code
 points, end exclusive.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; an empty table
@@ -50,6 +51,8 @@ ALLOWED = (
 PLACEHOLDER = "<SECRET>"
 #: Stands for a character under a pattern's span; of no class.
 BLANK = " "
+#: Matches of a text that are gathered at once.
+CHUNK = 256
 
 
 def _length(x: Column) -> Column:
@@ -67,18 +70,40 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
 
+def _chunks(items: Column) -> Column:
+    """The array in parts of CHUNK: what is added item by item to an array of its own stays short."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _before(sums: Column, zero: Column, add) -> Column:
+    """For each of a few values what `add` makes of all before it."""
+    empty = F.filter(F.array(zero), lambda _: F.lit(False))
+    step = lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["list"], F.array(acc["now"])).alias("list"))
+    return F.aggregate(sums, F.struct(zero.alias("now"), empty.alias("list")), step, lambda acc: acc["list"])
+
+
 def _spans(text: Column, pattern: str, kind: int, passes=None) -> Column:
-    """Array of (start, order, end, value) of the pattern's matches, left to right."""
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
+    """Array of (start, order, end, value, byte) of the pattern's matches, left to right; byte is where start is in UTF-8."""
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string,byte:bigint>>")
+    bytes_ = lambda x: F.coalesce(F.octet_length(x).cast("long"), F.lit(0).cast("long"))
+    chars = lambda x: F.coalesce(_length(x), F.lit(0).cast("long"))
+    place = lambda at, byte: F.struct(at.alias("at"), byte.alias("byte"))
+    add = lambda a, b: place(a["at"] + b["at"], a["byte"] + b["byte"])
+    zero = place(F.lit(0).cast("long"), F.lit(0).cast("long"))
 
     def step(acc, p):
-        start = acc["at"] + _length(p["gap"])
-        end = start + F.coalesce(_length(p["hit"]), F.lit(0).cast("long"))
-        found = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.when(p["hit"].isNotNull(), F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
-
-    seen = F.aggregate(_parts(text, pattern), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
-    found = F.when(F.regexp_like(text, F.lit(pattern)), seen).otherwise(empty)
+        start, byte = acc["at"] + _length(p["gap"]), acc["byte"] + bytes_(p["gap"])
+        end = start + chars(p["hit"])
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("value"), byte.alias("byte"))
+        found = F.when(p["hit"].isNotNull(), F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), (byte + bytes_(p["hit"])).alias("byte"), found.alias("found"))
+
+    def located(chunks):
+        size = lambda c: F.aggregate(c, zero, lambda a, p: place(a["at"] + chars(p["gap"]) + chars(p["hit"]), a["byte"] + bytes_(p["gap"]) + bytes_(p["hit"])))
+        inside = lambda c, z: F.aggregate(c, F.struct(z["at"].alias("at"), z["byte"].alias("byte"), empty.alias("found")), step, lambda acc: acc["found"])
+        return F.flatten(F.zip_with(chunks, _before(F.transform(chunks, size), zero, add), inside))
+
+    found = F.when(F.regexp_like(text, F.lit(pattern)), _bind(_bind(_parts(text, pattern), _chunks), located)).otherwise(empty)
     return F.filter(found, passes) if passes else found
 
 
@@ -167,7 +192,7 @@ def _candidate(span: Column) -> Column:
 def _by_digits(span: Column) -> Column:
     """The span, of kind `letters` if it has no digit."""
     kind = F.when(F.regexp_like(span["value"], F.lit("[0-9]")), 3).otherwise(4)
-    return F.struct(span["start"].alias("start"), kind.alias("kind"), span["end"].alias("end"), span["value"].alias("value"))
+    return F.struct(span["start"].alias("start"), kind.alias("kind"), span["end"].alias("end"), span["value"].alias("value"), span["byte"].alias("byte"))
 
 
 def scan(documents: DataFrame, base: str = "secret_base", spans: str = "secret_spans") -> DataFrame:
@@ -201,16 +226,22 @@ def redact(documents: DataFrame) -> DataFrame:
     """documents with every span's characters replaced by PLACEHOLDER; overlapping spans merge; other texts and columns as they were."""
     base, spans = common.fresh(documents, "secret_base"), common.fresh(documents, "secret_spans")
     found = scan(documents, base, spans)
-    text = F.coalesce("text", F.lit(""))
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    cut = lambda t, low, high: F.decode(F.substring(t, (low + 1).cast("int"), (high - low).cast("int")), "utf-8")
+    end = lambda s: s["byte"] + s["end"] - s["start"]  # noqa: E731  matches are ASCII
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], kept, F.lit(PLACEHOLDER))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+    def cleaned(t):
+        def step(acc, s):
+            fresh = s["byte"] >= acc["at"]
+            out = F.when(fresh, F.concat(acc["out"], cut(t, acc["at"], s["byte"]), F.lit(PLACEHOLDER))).otherwise(acc["out"])
+            return F.struct(out.alias("out"), F.greatest(acc["at"], end(s)).alias("at"))
+
+        def joined_parts(chunks):
+            ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, end)))
+            inside = lambda c, at: F.aggregate(c, F.struct(F.lit("").alias("out"), at.alias("at")), step, lambda acc: acc["out"])
+            parts = F.zip_with(chunks, _before(ends, F.lit(0).cast("long"), F.greatest), inside)
+            return F.concat(F.array_join(parts, ""), cut(t, F.array_max(ends), F.length(t)))
+
+        return _bind(_chunks(F.col(spans)), joined_parts)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(1 << 30)))
-    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, rest)
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).drop(base, spans)
+    return found.withColumn("text", F.when(F.size(spans) > 0, _bind(raw, cleaned)).otherwise(F.col("text"))).drop(base, spans)
