@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from floorline.sources.scratch import stored  # noqa: F401
 
 #: Rows and bytes of one Arrow batch; long texts make row counts alone a poor bound.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _shipped: set[str] = set()
 

@@ -37,11 +37,13 @@ from . import common
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 24
 #: Texts of a block of a key whose texts are compared pair by pair; buckets of the counts of words; pairs bounded at once.
-PIECE, BUCKETS, PAIRS = 500, 512, 1 << 14
+PIECE, BUCKETS, PAIRS = 500, 512, 1 << 12
 #: Parts into which the texts of a class are dealt for a join.
 SALTS = 16
 #: Texts up to which their set (8 MB of numbers) is broadcast; larger ones are joined.
 BROADCAST_TEXTS = 1_000_000
+#: Words whose codes a worker remembers.
+KEPT = 100_000
 #: Shingles hashed by all functions at once; longer texts function by function.
 TOGETHER = 4096
 
@@ -66,7 +68,7 @@ def word_codes(text: str, seen: dict[str, int]) -> np.ndarray:
     for w in _WORD.findall(text.lower()):
         code = seen.get(w)
         if code is None:
-            if len(seen) > 500_000:
+            if len(seen) > KEPT:
                 seen.clear()
             code = seen[w] = xxhash.xxh32_intdigest(w)
         out.append(code)
@@ -275,10 +277,12 @@ def _crossing(rows: DataFrame) -> DataFrame:
             x, y = x + at + start, y + at
             may = _may_link(held["n"], held["counts"], x, y)
             x, y = x[may], y[may]
-            # a pair of several keys counts under the first of them
-            same = held["keys"][x] == held["keys"][y]
-            once = held["keys"][x, same.argmax(axis=1)] == held["key"][at]
-            yield x[once], y[once]
+            for part in range(0, len(x), PAIRS):
+                p, q = x[part : part + PAIRS], y[part : part + PAIRS]
+                # a pair of several keys counts under the first of them
+                first = (held["keys"][p] == held["keys"][q]).argmax(axis=1)
+                once = held["keys"][p, first] == held["key"][at]
+                yield p[once], q[once]
 
     def emit(held, first, end):
         found = [(np.empty(0, np.int64),) * 2]
@@ -437,15 +441,19 @@ def keep_first(documents: DataFrame) -> DataFrame:
 
     Rows without a text or an id stay.
     """
-    _, found = classified(documents)
-    digest, first = (common.fresh(documents, c) for c in ("digest", "class_id"))
-    named = documents.withColumn(digest, F.when(F.col("doc_id").isNotNull(), text_digest()))
-    # the texts that go, and those whose rows are several, of which the one of the smallest id stays
-    gone = found.where("not keeper").select(F.col("digest").alias(digest))
-    several = found.where("keeper and n_copies > 1").select(F.col("digest").alias(digest), F.col("class_id").alias(first))
+    rows, found = classified(documents)
+    digest, keeper, first = (common.fresh(documents, c) for c in ("digest", "keeper", "class_id"))
+    # texts that go, and texts of several rows, of which those of the smallest id stay
+    marks = found.where("not keeper or n_copies > 1")
+    same = (F.col("doc_id") == F.col("class_id")) & F.col("keeper")
+    again = rows.join(marks, "digest").where(same).groupBy("digest").count().where("count > 1")  # rows equal in id and text
+    again = common.stored(again.select(F.col("digest").alias(digest)), "equal-rows")
+    marks = marks.select(F.col("digest").alias(digest), F.col("keeper").alias(keeper), F.col("class_id").alias(first))
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TEXTS // 2 else df
-    gone, several = small(gone), small(several)
-    kept = named.join(gone, digest, "left_anti")
-    alone = kept.join(several, digest, "left_anti")
-    once = kept.join(several, digest).where(F.col("doc_id") == F.col(first)).dropDuplicates([digest])
-    return alone.select(documents.columns).unionByName(once.select(documents.columns))
+    named = documents.withColumn(digest, F.when(F.col("doc_id").isNotNull(), text_digest()))
+    kept = named.join(small(marks), digest, "left").where(F.col(keeper).isNull() | (F.col(keeper) & (F.col("doc_id") == F.col(first))))
+    if again.isEmpty():
+        return kept.select(documents.columns)
+    again = small(again)
+    once = kept.join(again, digest, "left_semi").dropDuplicates([digest])
+    return kept.join(again, digest, "left_anti").select(documents.columns).unionByName(once.select(documents.columns))
