@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floorline.llm import packing, secrets
-from floorline.llm.common import stored, table
+from floorline.llm.common import fresh, stored, table
 from floorline.llm.near_dup import keep_first
 from floorline.llm.quality_crf import keep_good
 from floorline.llm.toxicity import keep_clean
@@ -37,9 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets replaced by a placeholder; n_chars follows the text where it changed."""
-    clean = secrets.redact(docs.withColumn("__before", F.col("text")))
+    before = fresh(docs, "before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("__before"))
+        changed = ~F.col("text").eqNullSafe(F.col(before))
         clean = clean.withColumn("n_chars", F.when(changed, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return clean.select(docs.columns)
 
