@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,8 +76,20 @@ def buffer_stream(events: DataFrame, most_ms: int = 8000) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Add rows to a log of JSON lines; every writer adds files of its own, so writers do not meet."""
-    rows.write.mode("append").json(path)
+    """Add rows to a log of JSON lines that others may append to at the same time.
+
+    Appending jobs of one folder share its temporary part, which the first to end takes away; so each writes to a
+    folder of its own, hidden from readers, and then moves its whole files into the log.
+    """
+    sc, own = rows.sparkSession.sparkContext, uuid.uuid4().hex
+    part = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{own}")
+    rows.write.json(part.toString())
+    files = part.getFileSystem(sc._jsc.hadoopConfiguration())
+    for found in files.listStatus(part):
+        name = found.getPath().getName()
+        if name.startswith("part-") and not files.rename(found.getPath(), sc._jvm.org.apache.hadoop.fs.Path(path, f"{own}-{name}")):
+            raise OSError(f"{name} could not be moved to {path}")
+    files.delete(part, True)
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
