@@ -39,7 +39,7 @@ SCALE = np.array([4.0, 8.0, 2.0, 4.0, 6.0, 3.0, 1.0, 1.0, 1.0, 1.0])
 WIDTH = len(SCALE)
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
+_PLACE = _rng.integers(1, 1 << 62, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def line_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +62,7 @@ def line_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     if len(begin):
         place = np.zeros(len(buffer), np.int64)
         place[begin[0] :] = np.arange(begin[0], len(buffer)) - np.repeat(begin, np.diff(np.append(begin, len(buffer))))
-        codes = np.where(solid, _BYTE[buffer] * _PLACE[place & 63], np.uint64(0))
+        codes = np.where(solid, _BYTE[buffer] * _PLACE[place & 4095], np.uint64(0))
         word = np.add.reduceat(codes, begin)
         line = np.searchsorted(starts, begin, side="right") - 1
         words = np.bincount(line, minlength=n)
@@ -169,20 +169,33 @@ class Field:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.shift)
-        stats, weight, first = line_statistics(texts)
+        stats, weight, first = line_statistics(texts) if len(texts) > 1 or len(texts[0]) <= CHUNK else _in_pieces(texts[0])
         x = emissions(stats, first)
         return 1 / (1 + np.exp(-(self.scale * self.badness(x, first, weight) + self.shift).clip(-30, 30)))
 
 
+def _in_pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_statistics of one long text, of about CHUNK bytes of whole lines at a time."""
+    found, at = [], 0
+    while at <= len(text):
+        end = text.find(b"\n", at + CHUNK)
+        end = len(text) if end < 0 else end
+        found.append(line_statistics([text[at:end]])[:2])
+        at = end + 1
+    stats, weight = (np.concatenate(c) for c in zip(*found))
+    return stats, weight, np.array([0, len(stats)])
+
+
 def chunks(texts: list[bytes | None]):
-    """Texts in runs of about CHUNK bytes; null as empty."""
+    """Texts in runs of about CHUNK bytes, longer texts alone; null as empty."""
     part, size = [], 0
     for t in texts:
-        part.append(t or b"")
-        size += len(part[-1])
-        if size >= CHUNK:
+        t = t or b""
+        if part and size + len(t) > CHUNK:
             yield part
             part, size = [], 0
+        part.append(t)
+        size += len(t)
     if part:
         yield part
 

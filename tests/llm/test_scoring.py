@@ -168,6 +168,17 @@ def test_line_statistics_of_odd_texts():
     assert np.allclose(stats, np.vstack(alone))
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = ["\n".join("x" * rng.randint(0, 30) + " ab" * rng.randint(0, 5) for _ in range(rng.randint(1, 40))).encode() for _ in range(60)] + [b"", b"\n", b"\n\n\n", b"a" * 99, b"a\n"]
+    whole = [quality_crf.line_statistics([t]) for t in texts]
+    monkeypatch.setattr(quality_crf, "CHUNK", 37)
+    for t, (stats, weight, first) in zip(texts, whole):
+        got = quality_crf._in_pieces(t)
+        assert np.array_equal(got[0], stats) and np.array_equal(got[1], weight) and got[2].tolist() == first.tolist()
+    assert [t for part in quality_crf.chunks(texts) for t in part] == texts
+
+
 def junk(rng, words):
     kind = rng.randrange(3)
     if kind == 0:
