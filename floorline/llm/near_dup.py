@@ -10,13 +10,13 @@ Copies are first folded into one text by digest. Then every text is compared wit
 least text under that key, which links large families without pairing their members. The links give first classes;
 what remains are keys whose texts are of different classes. Under these every two texts of different classes are
 compared, keys of more than PIECE texts block by block, so no pair that could join two classes is left out; only
-bounds that no pair of SIMILARITY breaks (lengths, and counts of words by hash) spare an alignment.
+bounds that no pair of SIMILARITY breaks (lengths, and counts of words by hash, coarse ones first) spare an alignment.
 
 The similarity of two texts is the number of words that an alignment matches over the words of the longer text; two
 texts of SIMILARITY or more are linked. The alignment is anchored at the longest chain of common labelled shingles
 that stand in the same order within the band around the diagonal which a path of that similarity never leaves; between
 anchors the words are aligned by longest common subsequence. Classes are connected components of links, found by
-hooking to smaller neighbours and pointer jumping over tables in the shared folder.
+hooking to smaller neighbours and pointer jumping; links within what has been joined go after each round.
 
 Defined results: a null text, or a null id, is in a class of its own; equal texts share a class, empty ones too; a
 text of one to four words is one shingle; texts without words are compared by digest alone; a class is named by its
@@ -36,8 +36,10 @@ from . import common
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 24
-#: Texts of a block of a key whose texts are compared pair by pair; buckets of the counts of words; pairs bounded at once.
-PIECE, BUCKETS, PAIRS = 500, 512, 1 << 12
+#: Texts of a block of a key whose texts are compared pair by pair; buckets of the counts of words, and of coarse ones.
+PIECE, BUCKETS, COARSE = 500, 4096, 512
+#: Pairs handled and counts compared at once.
+PAIRS, COMPARED = 1 << 12, 1 << 21
 #: Parts into which the texts of a class are dealt for a join.
 SALTS = 16
 #: Texts up to which their set (8 MB of numbers) is broadcast; larger ones are joined.
@@ -218,7 +220,7 @@ def text_digest(text: str = "text") -> Column:
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """text (a number), doc_id, digest, codes (bytes), keys (array<long>; none without words), n and counts of every row.
+    """text (a number), doc_id, digest, codes (bytes), keys (array<long>; none without words) and n of every row.
 
     Numbers are given by row, so they hold once the rows are stored.
     """
@@ -233,21 +235,42 @@ def _sketched(documents: DataFrame) -> DataFrame:
                 pa.array([c.tobytes() for c in codes], pa.binary()),
                 pa.array([sketch(labelled_shingles(c)).view(np.int64) if len(c) else [] for c in codes], pa.list_(pa.int64())),
                 pa.array([len(c) for c in codes], pa.int64()),
-                pa.array([word_counts(c).tobytes() for c in codes], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "codes", "keys", "n", "counts"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "codes", "keys", "n"])
 
-    rows = common.text_map(documents, work, "doc_id long, digest binary, codes binary, keys array<long>, n long, counts binary")
+    rows = common.text_map(documents, work, "doc_id long, digest binary, codes binary, keys array<long>, n long")
     return rows.withColumn("text", F.monotonically_increasing_id())
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """text, n, keys and counts (bytes) of texts with their codes."""
+
+    def work(batches):
+        for batch in batches:
+            counts = [word_counts(np.frombuffer(c, np.uint32)).tobytes() for c in batch["codes"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["text"], batch["n"], batch["keys"], pa.array(counts, pa.binary())], ["text", "n", "keys", "counts"])
+
+    return common.text_map(texts, work, "text long, n long, keys array<long>, counts binary")
+
+
+def _differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sum of absolute differences of each two rows of unsigned numbers."""
+    return (np.maximum(p, q) - np.minimum(p, q)).sum(axis=-1, dtype=np.int64)
+
+
+def _coarse(counts: np.ndarray) -> np.ndarray:
+    """Counts in COARSE buckets, of which those of BUCKETS are parts."""
+    return counts.reshape(len(counts), -1, COARSE).sum(axis=1, dtype=np.uint16)
+
+
 def _may_link(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether lengths and counts of words leave pairs of rows x and y the chance of a link."""
     longest = np.maximum(n[x], n[y])
     may = np.minimum(n[x], n[y]) >= SIMILARITY * longest - 1e-9
     at = np.flatnonzero(may)
-    for part in np.split(at, range(PAIRS, len(at), PAIRS)):
-        apart = np.abs(counts[x[part]].astype(np.int16) - counts[y[part]]).sum(axis=1, dtype=np.int64)
+    many = COMPARED // counts.shape[1]
+    for part in np.split(at, range(many, len(at), many)):
+        apart = _differences(counts[x[part]], counts[y[part]])
         may[part] = apart <= n[x[part]] + n[y[part]] - 2 * SIMILARITY * longest[part] + 1e-6
     return may
 
@@ -275,8 +298,9 @@ def _crossing(rows: DataFrame) -> DataFrame:
                 fits &= (block[start:stop, None] == low) & (block == high)
             x, y = np.nonzero(fits)
             x, y = x + at + start, y + at
-            may = _may_link(held["n"], held["counts"], x, y)
-            x, y = x[may], y[may]
+            for counts in ("coarse", "counts"):
+                may = _may_link(held["n"], held[counts], x, y)
+                x, y = x[may], y[may]
             for part in range(0, len(x), PAIRS):
                 p, q = x[part : part + PAIRS], y[part : part + PAIRS]
                 # a pair of several keys counts under the first of them
@@ -303,6 +327,7 @@ def _crossing(rows: DataFrame) -> DataFrame:
             held = {c: rows[c].to_numpy() for c in ("key", "low", "high", "text", "class_id", "n", "block")}
             held["keys"] = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
             held["counts"] = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            held["coarse"] = _coarse(held["counts"])
             new = np.append(True, np.any([held[c][1:] != held[c][:-1] for c in ("key", "low", "high")], axis=0))
             first = np.flatnonzero(new)
             end = int(first[-1])  # the last cell may go on in the next batch
@@ -324,7 +349,7 @@ def crossing_pairs(sketches: DataFrame, keyed: DataFrame, label: DataFrame) -> D
     mixed = named.groupBy("key").agg(F.count("*").alias("members"), F.min("class_id").alias("least"), F.max("class_id").alias("most"))
     mixed = mixed.where("least <> most").select("key", F.ceil(F.col("members") / PIECE).alias("blocks"))
     member = common.stored(named.join(mixed, "key").select("text", "class_id", "key", F.pmod(F.xxhash64("text", "key"), "blocks").alias("block"), "blocks"), "mixed-keys")
-    member = _restricted(sketches.select("text", "n", "counts", "keys"), member.select("text")).join(member, "text")
+    member = _counted(_restricted(sketches.select("text", "n", "codes", "keys"), member.select("text"))).join(member, "text")
     cells = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
     common.prepare(sketches.sparkSession)
@@ -354,9 +379,9 @@ def verified(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -
                 for c in (p, q):
                     if c not in known:
                         codes = np.frombuffer(c, np.uint32)
-                        known[c] = codes, word_counts(codes).astype(np.int64), labelled_shingles(codes)
+                        known[c] = codes, word_counts(codes), labelled_shingles(codes)
                 (a, u, x), (b, v, y) = known[p], known[q]
-                may = np.abs(u - v).sum() <= len(a) + len(b) - 2 * least * max(len(a), len(b)) + 1e-6
+                may = _differences(u, v) <= len(a) + len(b) - 2 * least * max(len(a), len(b)) + 1e-6
                 found.append(alignment(a, b, x, y, least) if may else 0.0)
             out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], ["a", "b", "similarity"])
             yield out.filter(pa.array([f > 0 for f in found], pa.bool_()))
@@ -368,22 +393,29 @@ def verified(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -
 def components(links: DataFrame) -> DataFrame:
     """text and class_id (the smallest) of every text that occurs in links of columns a and b.
 
-    Every round joins each text's label with its neighbours' least label and then jumps to the label's label;
-    rounds are logarithmic in the longest path for usual graphs and end when nothing changes.
+    Every round hooks each text to its least neighbour and jumps to that one's; links then lie between the labels so
+    given, and those of one label go. A label is of the same component, so links of labels join what links of texts
+    do. Rounds are logarithmic in the longest path for usual graphs and end when no link is left.
     """
-    edges = common.stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = common.stored(edges.groupBy(F.col("a").alias("text")).agg(F.least(F.min("b"), F.first("a")).alias("class_id")), "labels-0")
-    step = 0
+    ends = lambda one, other: (F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+    edges = common.stored(links.select(*ends("a", "b")).where("a <> b").distinct(), "edges-0")
+    label, step = None, 0
     while True:
         step += 1
-        near = edges.join(label.select(F.col("text").alias("b"), "class_id"), "b").groupBy(F.col("a").alias("text")).agg(F.min("class_id").alias("near"))
-        hooked = label.join(near, "text").select("text", F.least("class_id", "near").alias("class_id"), F.col("class_id").alias("old"))
-        hooked = common.stored(hooked, f"hooked-{step}")
-        jump = hooked.select(F.col("text").alias("class_id"), F.col("class_id").alias("far"))
-        # a label is a text of the graph, so the inner join keeps every row
-        new = common.stored(hooked.join(jump, "class_id").select("text", F.least("class_id", "far").alias("class_id"), "old"), f"labels-{step}")
-        label = new.select("text", "class_id")
-        if new.where("class_id <> old").isEmpty():
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("near"))
+        near = near.select(F.col("a").alias("text"), F.least("a", "near").alias("class_id"))
+        jump = near.select(F.col("text").alias("class_id"), F.col("class_id").alias("far"))
+        # a least neighbour is a text of the graph, so the inner join keeps every row
+        root = common.stored(near.join(jump, "class_id").select("text", F.col("far").alias("class_id")), f"roots-{step}")
+        if label is None:
+            label = root
+        else:
+            named = label.join(root.select(F.col("text").alias("class_id"), F.col("class_id").alias("root")), "class_id", "left")
+            label = common.stored(named.select("text", F.coalesce("root", "class_id").alias("class_id")), f"labels-{step}")
+        of = lambda at: root.select(F.col("text").alias(at), F.col("class_id").alias(f"{at}_root"))
+        edges = edges.join(of("a"), "a").join(of("b"), "b").select(*ends("a_root", "b_root")).where("a <> b").distinct()
+        edges = common.stored(edges, f"edges-{step}")
+        if edges.isEmpty():
             return label
 
 

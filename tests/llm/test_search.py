@@ -78,6 +78,22 @@ def test_bounds_spare_no_link():
         assert may or lcs(texts[i].tolist(), texts[j].tolist()) < 0.8 * max(n[i], n[j])
 
 
+def test_bounds_tell_long_texts_apart():
+    """Long texts with little under 0.8 of their words in common are told apart by counts alone; before, none was."""
+    rng = random.Random(12)
+    texts = []
+    base = [f"w{rng.randrange(3000)}" for _ in range(770)]
+    for _ in range(40):
+        b = list(base)
+        for at in rng.sample(range(770), 105):
+            b[at] = f"w{rng.randrange(3000)}"
+        texts.append(coded(" ".join(b), {})[0])
+    n, counts = np.array([len(t) for t in texts]), np.stack([near_dup.word_counts(t) for t in texts])
+    x, y = np.triu_indices(40, 1)
+    may, coarse = near_dup._may_link(n, counts, x, y), near_dup._may_link(n, near_dup._coarse(counts), x, y)
+    assert may.mean() < 0.1 and (coarse | ~may).all()
+
+
 def test_labels_are_unique():
     codes = near_dup.word_codes("a b c d e f " * 30, {})
     assert len(set(near_dup.labelled_shingles(codes).tolist())) == len(codes) - 4
@@ -177,6 +193,32 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102, 103, 200)}
 
 
+def test_components_join_few_links_again(spark, monkeypatch):
+    """A link within what is joined already is not read in later rounds."""
+    rows, real = {}, near_dup.common.stored
+
+    def told(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup.common, "stored", told)
+    rng = random.Random(13)
+    stars = [(i % 3, i) for i in range(3, 300)] + [(400, 401), (9, 400)]
+    loose = [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(100)]
+    found = {}
+    for links in (loose, stars):
+        rows.clear()
+        found |= {r.text: r.class_id for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {t: t for link in loose + stars for t in link if link[0] != link[1]}
+    for _ in want:
+        for a, b in loose + stars:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert found == want
+    assert sum(n for name, n in rows.items() if name.startswith("edges")) < 1.1 * len(stars)
+
+
 def test_one_id_with_several_texts(spark):
     """Rows, not ids, are removed: one of equal rows, the copy of another row's text, and nothing else."""
     rng = random.Random(9)
