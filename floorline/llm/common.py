@@ -52,17 +52,22 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
+def labelled(labels: DataFrame, column: str, keep: Column) -> DataFrame:
+    """(doc_id, y): one row per labelled id that passes keep.
+
+    Null ids and labels are left out; of conflicting labels the larger wins.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & keep)
+    return rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
+
+
 def labelled_sample(labels: DataFrame, column: str, keep: Column, most: int) -> DataFrame:
-    """(doc_id, y): one row per labelled id that passes keep, thinned by id hash to about `most` rows.
+    """The rows of labelled, thinned by id hash to about `most` rows.
 
     The thinning takes ids whose hash falls under most / count, so its expected size is `most` at any
-    input size. Null ids and labels are left out; of conflicting labels the larger wins.
+    input size.
     """
-    rows = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & keep)
-        .groupBy("doc_id")
-        .agg(F.max(F.col(column).cast("int")).alias("y"))
-    )
+    rows = labelled(labels, column, keep)
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))

@@ -388,6 +388,56 @@ def test_threshold_parts_both_classes():
     assert quality_rules.calibrated(fine, np.ones(1000, int)) == 0.5
 
 
+def test_threshold_counts_every_labelled_row(spark):
+    rng = np.random.default_rng(25)
+    for fine, bad in ((900, 300), (1500, 0), (1, 40), (0, 30)):
+        anomalies = np.round(np.append(rng.normal(0.45, 0.05, fine), rng.normal(0.55, 0.05, bad)), 3)
+        y = np.append(np.ones(fine, int), np.zeros(bad, int))
+        known = spark.createDataFrame(list(zip(anomalies.tolist(), y.tolist())), "anomaly double, y int")
+        assert quality_rules.threshold_of(known) == quality_rules.calibrated(anomalies, y)
+
+
+def test_forest_holds_every_row(spark):
+    """Nodes of all trees hold each row as often as it is dealt; growing over a table equals growing over arrays."""
+    rng = np.random.default_rng(26)
+    rows = np.round(rng.gamma(2, size=(700, len(quality_rules.FEATURES))), 2)
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "doc_id long, features array<double>").repartition(3)
+    sizes, real = [], quality_rules._extents
+
+    def told(dealt, forest):
+        found = real(dealt, forest)
+        held = dealt.collect()
+        plain = forest.extents(np.array([r["tree"] for r in held]), np.array([r["features"] for r in held]))
+        assert all(np.array_equal(a, b) for a, b in zip(found, plain))
+        sizes.append((len(held), int(found[2].sum())))
+        return found
+
+    quality_rules._extents = told
+    try:
+        for trees, least, times in ((10, 20, 1), (10, 140, 2), (10, 5000, 10)):
+            sizes.clear()
+            forest = quality_rules.grown(stats, trees, least)
+            assert sizes[0] == (700 * times, 700 * times) and len(forest.trees) == trees
+            assert len(sizes) - 1 == math.ceil(math.log2(min(least, 70 * times)))
+            again = quality_rules.grown(stats.repartition(2), trees, least)
+            assert np.array_equal(again.score(rows), forest.score(rows))
+    finally:
+        quality_rules._extents = real
+
+
+def test_rules_use_rows_and_labels_beyond_any_bound(spark, monkeypatch):
+    """The forest is grown over, and the threshold counted from, every row of a table over the former bounds."""
+    n, seen = 26_000, {}
+    rng = np.random.default_rng(27)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1000, 52)) for _ in range(n)]
+    grow, count = quality_rules.Forest.over.__func__, quality_rules.threshold_of
+    monkeypatch.setattr(quality_rules.Forest, "over", classmethod(lambda cls, dealt, *a: seen.update(dealt=dealt.count()) or grow(cls, dealt, *a)))
+    monkeypatch.setattr(quality_rules, "threshold_of", lambda known: seen.update(known=known.count()) or count(known))
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(1 as int) as quality", "0 as toxic")
+    got = quality_rules.judge(docs(spark, list(enumerate(texts))), labels)
+    assert seen == {"dealt": n, "known": got.where("not base_failed").count()} and seen["known"] > 20_000
+
+
 def test_language_without_training(spark):
     p = spark.createDataFrame([(1, "http://a.de/", "<p>x</p>")], "page_id long, url string, html string")
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
